@@ -1,0 +1,375 @@
+"""The queries against brute-force versions over all rows of a small input with odd rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+SF = "/root/testdata/sf0.001"
+ODD = [
+    (10_001, None, "en", "src1"), (10_002, "", None, None), (None, "no id here at all, with ten words or so in it", "en", "src0"),
+    (10_003, "one two", "en", "src1"), (10_003, "one two", "en", "src1"), (10_004, " \n\t \n", "fr", "src2"),
+    (10_005, "mail a@b.c_d@e.f and x@y, 1.2.3.4.5 256.1.1.1 4111 1111 1111 1111 +1 (800) 555-0100 " + "9" * 5000, "en", "src1"),
+    (10_006, "word " * 30_000, "en", "src9"), (10_007, "a\nb\nc\na\nb\nc\na\nb\nc", "de", "src1"), (10_008, "tab\there  double  spaces \n\n end ", "en", None),
+    (10_009, "x" * 50_000 + " É " + "😀 emoji 😀@x.y.z", "es", "src3"),
+]
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    """A copy of the smallest tables with odd rows and a column of a clashing name."""
+    from pyspark.sql import functions as F
+
+    at = str(tmp_path_factory.mktemp("sf"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.unionByName(odd).withColumn("node", F.lit("clash")).write.parquet(f"{at}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.unionByName(spark.createDataFrame([(None, "null id item"), (900, None), (901, ""), (902, "one two"), (903, "Word word WORD")], "item_id long, text string")).write.parquet(f"{at}/benchmark.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").unionByName(spark.createDataFrame([(10_001, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")).write.parquet(f"{at}/labels.parquet")
+    big = "<p>" + "same " * 300 + "</p>"
+    spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(9001, None, None), (9002, "u\n", ""), (9003, "u", big), (9004, "u", big), (9004, "u", big), (None, "u", big), (9005, "u", "short"), (9006, "u", "short")], "page_id long, url string, html string")).write.parquet(f"{at}/pages.parquet")
+    return at
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+
+def rows(df, *cols):
+    return Counter(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def lower(s):
+    return s.encode().lower().decode()
+
+
+def test_decontaminate(spark, sf, docs):
+    from kinlink.llm import decontaminate
+    from kinlink.llm.queries import op2_decontaminate
+
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    items = [(str(r.item_id), find(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.item_id is not None]
+    want = Counter()
+    for d, t, _ in docs:
+        w, hit, got = find(t), set(), set()
+        at = defaultdict(list)
+        for i, x in enumerate(w):
+            at[x].append(i)
+        for item, ws in items:
+            k = min(10, len(ws))
+            for a in range(len(ws) - k + 1) if ws else ():
+                for i in at[ws[a]]:
+                    if w[i : i + k] == ws[a : a + k]:
+                        hit |= set(range(i, i + k))
+                        got.add(item)
+        want[d, len(w), len(hit), len(got), sha(",".join(sorted(got))), bool(hit)] += 1
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows(op2_decontaminate(spark, sf), *cols) == want
+    assert any(k[2] for k in want)
+    old, decontaminate.PART_BYTES = decontaminate.PART_BYTES, 2_000
+    try:
+        assert rows(op2_decontaminate(spark, sf), *cols) == want
+    finally:
+        decontaminate.PART_BYTES = old
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s)]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def base(t):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    ]
+    return sorted((m.start(), i, m.end(), k) for i, (k, p, ok) in enumerate(kinds) if k != "email" or "@" in t for m in re.finditer(p, t) if ok(m[0]))
+
+
+def test_pii(spark, sf, docs):
+    from kinlink.llm.queries import op3_pii
+
+    want = Counter()
+    for d, t, _ in docs:
+        s = base(t if t and len(t) < 40_000 else (t or "")[-60:].rjust(len(t or ""), "\n"))
+        n = Counter(k for *_, k in s)
+        want[d, n["email"], n["ip"], n["card"], n["phone"], sha(",".join(f"{k}:{a}:{z}" for a, _, z, k in s))] += 1
+    got = op3_pii(spark, sf).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")) for r in got) == want
+
+
+def test_pii_bootstrap(spark):
+    from kinlink.llm.pii import digest, personal_data
+
+    texts = [f"word{'' if i % 2 else 's'} goes mail address: user{i}@host.com then on" for i in range(9)] + ["we use mail address: user7731.host now", "plain 12345 text only"]
+    got = {r.doc_id: r for r in digest(personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert got[9].spans == "email:21:34" and got[9].n_email == 0
+    assert got[10].spans == "" and got[0].spans == "email:25:39"
+
+
+def test_tokens(spark, sf, docs):
+    from tokenizers import Tokenizer
+
+    from kinlink.llm.queries import op5_tokens, tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    want, start, by = Counter(), 0, defaultdict(list)
+    got = op5_tokens(spark, sf).collect()
+    for d, text, _ in docs:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        by[d].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, *x) for d, xs in by.items() for x in xs)
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == sorted((r.doc_id for r in got), key=lambda d: -1 if d is None else d)
+    for r in ordered:
+        assert r.start == start
+        start += r.n_tokens
+    assert want == Counter()
+
+
+def test_warc(spark, sf):
+    from kinlink.llm.queries import op7_warc
+
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    top = defaultdict(list)
+    for p, h in pages:
+        if len(h) >= 1000:
+            top[h].append(-1 if p is None else p)
+    want = Counter()
+    for p, h in pages:
+        best = max(top[h]) if h in top else None
+        same = best is None or best == p or len(top[h]) == 1
+        want[p, len(h), hashlib.sha1(h).hexdigest(), "response" if same else "revisit", None if same else best] += 1
+    assert rows(op7_warc(spark, sf), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+
+
+def measures(t):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    win = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    rep = {i + j for i in range(len(ws) - 4) if win[tuple(ws[i : i + 5])] > 1 for j in range(5)}
+    n = len(ws)
+    return n, sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(rep), n < 10 or 100 * len(rep) > 20 * n
+
+
+def test_quality(spark, sf, docs):
+    from kinlink.llm.queries import op8_quality
+
+    got = op8_quality(spark, sf).collect()
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter(tuple(r[c] for c in cols) for r in got) == Counter((d, *measures(t)) for d, t, _ in docs)
+    assert all(not (r.base_failed and r.kept) for r in got)
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    assert sum(r.kept for r in got if r.doc_id in good and not r.base_failed) >= 0.99 * sum(1 for r in got if r.doc_id in good and not r.base_failed)
+    bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0").collect()}
+    assert sum(r.kept for r in got if r.doc_id in bad) <= 0.3 * len(bad)
+
+
+def test_mix(spark, sf, docs):
+    from kinlink.llm.mixing import mixed_documents
+    from kinlink.llm.queries import op9_mix
+
+    got = op9_mix(spark, sf).collect()
+    sizes = [(d, s, measures(t)[0]) for d, t, s in docs]
+    total = Counter()
+    for _, s, n in sizes:
+        total[s] += n
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, target, free = 1.5 * sum(total.values()), {}, set(order)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] > 2 * total[s]}
+        target |= {s: 2.0 * total[s] for s in full} if full else share
+        left -= sum(2 * total[s] for s in full)
+        free = free - full if full else set()
+    source = defaultdict(set)
+    for d, s, n in sizes:
+        source[d, n].add(s)
+    taken = Counter()
+    for r in got:
+        (s,) = source[r.doc_id, r.size]
+        assert r.source_size == total[s] and r.target == pytest.approx(target[s]) and r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert len(got) == len(docs)
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(n for _, x, n in sizes if x == s)
+    key = lambda rs: Counter((r.doc_id, r.taken) for r in rs)
+    assert key(got) == key(op9_mix(spark, sf).collect())
+    mixed = mixed_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert mixed.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+    assert mixed.count() == sum(r.taken // r.size for r in got if r.size) + sum(1 for r in mixed.collect() if not (r.text or "").strip())
+
+
+def near_classes(docs):
+    sets, parent = [], {}
+    for d, t, _ in docs:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
+        k = min(5, len(w))
+        sets.append(Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else Counter())
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holds = defaultdict(set)
+    for i, s in enumerate(sets):
+        for x in s:
+            holds[x].add(i)
+    pairs = {(i, j) for v in holds.values() if len(v) > 1 for i in v for j in v if i < j}
+    for i, j in pairs:
+        common = sum((sets[i] & sets[j]).values())
+        if common >= 0.8 * (sets[i].total() + sets[j].total() - common):
+            parent[i, j] = 1
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    out = defaultdict(list)
+    for i in range(len(docs)):
+        out[top(i)].append(docs[i][0])
+    return Counter((d, min((x for x in v if x is not None), default=None)) for v in out.values() for d in v)
+
+
+def test_near_dup(spark, sf, docs):
+    from kinlink.llm.neardup import one_of_each
+    from kinlink.llm.queries import op10_near_dup
+
+    want = near_classes(docs)
+    assert rows(op10_near_dup(spark, sf), "doc_id", "class_id") == want
+    kept = one_of_each(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in want}
+
+
+def test_signatures_estimate_weighted_jaccard():
+    from kinlink.llm.neardup import signature
+
+    np.seterr(over="ignore")
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    x, y = np.repeat(a, rng.integers(1, 9, 60)), np.repeat(a, rng.integers(1, 9, 60))
+    cx, cy = Counter(x.tolist()), Counter(y.tolist())
+    true = (cx & cy).total() / (cx | cy).total()
+    got = np.mean(signature(x, 4096) == signature(y, 4096))
+    assert abs(got - true) < 0.03
+
+
+def test_line_dedup(spark, sf, docs):
+    from kinlink.llm.queries import op6_line_dedup
+
+    s = [(-1, t) if d is None else (d, t) for d, t, _ in docs]
+    from pyspark.sql import functions as F
+
+    from kinlink.llm.common import row_key
+
+    keys = Counter()
+    order = {(r.doc_id, r.text): r.k for r in spark.read.parquet(f"{sf}/documents.parquet").withColumn("k", row_key("doc_id", "text")).select("doc_id", "text", "k").collect()}
+    seen, want = {}, Counter()
+    for d, t in sorted(set(s), key=lambda x: (x[0], order[None if x[0] < 0 else x[0], x[1]])):
+        lines = (t or "").split("\n")
+        real = [(i, x.strip(" \t\n\v\f\r")) for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        gone = set()
+        for i in range(len(real) - 2):
+            w = tuple(x for _, x in real[i : i + 3])
+            if seen.setdefault(w, (d, t, i)) != (d, t, i):
+                gone |= {k for k, _ in real[i : i + 3]}
+        text = None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        keys[d, t] = (text, 0 if t is None else len(lines), len(gone))
+    for d, t in s:
+        want[None if d < 0 else d, *keys[d, t]] += 1
+    assert rows(op6_line_dedup(spark, sf), "doc_id", "text", "n_lines", "n_removed") == want
+    assert F is not None
+
+
+def test_toxicity(spark, sf):
+    from kinlink.llm.queries import op4_toxicity
+
+    got = op4_toxicity(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_held_out(spark):
+    from kinlink.llm.queries import op4_toxicity
+
+    at = "/root/testdata/sf0.1"
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    got = [(r.score, label[r.doc_id]) for r in op4_toxicity(spark, at).collect() if r.held_out and r.doc_id in label]
+    pos = np.array([s for s, y in got if y])
+    neg = np.array([s for s, y in got if not y])
+    auc = (pos[:, None] > neg[None, :]).mean() + 0.5 * (pos[:, None] == neg[None, :]).mean()
+    print("AUC", auc, len(pos), len(neg), "recall", (pos >= 0.5).mean(), "false alarms", (neg >= 0.5).mean())
+    assert auc > 0.85
+    assert (neg >= 0.5).mean() < 0.03
+
+
+def test_licenses(spark, sf, docs):
+    from kinlink.llm.licenses import TEMPLATES, align, license_words, scan
+    from kinlink.llm.queries import op1_license_scan
+
+    t = {k: license_words(v) for k, v in TEMPLATES.items()}
+    body = t["MIT-text"]
+    noisy = ["foo"] * 50 + [w for i, w in enumerate(body) if i % 12] + ["bar"] * 50
+    assert [x[2] for x in scan(noisy, t)] == ["MIT-text"]
+    assert scan(["mit", "license"] * 40, t) == [] and scan([], t) == []
+    assert align(list("abcxdef"), list("abcydef")) == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 5), (6, 6)]
+    got = op1_license_scan(spark, sf).collect()
+    assert len(got) == len(docs)
+    notes = {k: TEMPLATES[k].lower() for k in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0")}
+    text = defaultdict(list)
+    for d, x, _ in docs:
+        text[d].append((x or "").lower())
+    for r in got:
+        for name, note in notes.items():
+            if all(note in x for x in text[r.doc_id]):
+                assert name in r.licenses.split(",")
+            elif not any("licen" in x for x in text[r.doc_id]):
+                assert r.n_licenses == 0
+
+
+def test_simple8b_round_trip():
+    from kinlink.llm.tokens import pack_block, unpack_block
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 59, 240, 241, 5000):
+        for high in (1, 2, 50_257, 1 << 33):
+            ids = rng.integers(0, high, n).astype(np.uint64)
+            ids[rng.integers(0, n)] = 1 << 62
+            assert unpack_block(pack_block([ids, ids[:3]]))[1].tolist() == [*ids.tolist(), *ids[:3].tolist()]
+
+
+def test_empty_tables(spark, tmp_path):
+    from kinlink.llm.queries import QUERIES
+
+    for name in ("documents", "benchmark", "labels", "pages"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, f in QUERIES.items():
+        assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline(spark, sf, docs):
+    import corpus_pipeline
+
+    d, names = spark.read.parquet(f"{sf}/documents.parquet"), None
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before = d
+        d = f(spark, d, sf)
+        assert d.columns == before.columns, name
+        d.write.parquet(path := f"{sf}/stage-{name}")
+        d = spark.read.parquet(path)
+    assert corpus_pipeline.run(spark, sf).count() == d.count() > 0
+    assert names is None
