@@ -1,4 +1,276 @@
-"""Queries of the record-linkage operators and their SQL."""
+"""Queries of the record-linkage operators over records made of all documents, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import similarity as S
+from .functions import text as T
+from .operators import blocking, evaluate, matching
+from .plans import pipeline
+from .sources.tables import business_records, explode_lists, last_of_each, resume
+
+THRESHOLD = 0.6
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = business_records(spark, sf_dir)
+    return r.filter("source = 'S1'"), r.filter("source <> 'S1'")
+
+
+def _ids(source: DataFrame) -> DataFrame:
+    return source.select(F.col("entity_id").alias("source1_entity_id"))
+
+
+def _truth(source: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pairs of equal held-out words."""
+    key = (F.col("truth_key") != "") & (F.col("no") >= 17)
+    return source.filter(key).select(F.col("entity_id").alias("source1_entity_id"), "truth_key").join(targets.filter(key).select(F.col("entity_id").alias("candidate_entity_id"), "truth_key"), "truth_key").drop("truth_key")
+
+
+def _exact(source: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pairs of equal names without suffixes: a simple prediction to evaluate."""
+    core = lambda d, n: d.select(F.col("entity_id").alias(n), T.strip_legal_suffixes(T.clean_business_name(F.col("business_name"))).alias("k"), T.normalize_country(F.col("country")).alias(f"c_{n}"))
+    p = core(source, "source1_entity_id").join(core(targets, "candidate_entity_id"), "k")
+    return p.filter(blocking.compatible(F.col("c_source1_entity_id"), F.col("c_candidate_entity_id"))).select("source1_entity_id", "candidate_entity_id")
+
+
+def records(spark, sf_dir):
+    """SC4, WN5: records of three sources, the last of each id."""
+    return last_of_each(business_records(spark, sf_dir)).select("entity_id", "business_name", "business_address", "country", "source")
+
+
+def normalized(spark, sf_dir):
+    """TX6 to TX23: normalised fields and tokens."""
+    r = business_records(spark, sf_dir)
+    joined = lambda c: F.array_join(c, "|")
+    return r.select("entity_id", T.normalize_country(F.col("country")).alias("norm_country"), joined(T.extract_tokens(F.col("business_address"))).alias("address_tokens"), joined(T.extract_numeric_tokens(F.col("business_address"))).alias("numbers"), joined(T.extract_normalized_numbers(F.col("business_address"))).alias("plain_numbers"), T.source_label(F.col("entity_id")).alias("label"))
+
+
+def names(spark, sf_dir):
+    """TX7, TX9, TX11, TX18: cleaned and core names."""
+    r, n = business_records(spark, sf_dir), F.col("business_name")
+    return r.select("entity_id", T.clean_business_name(n).alias("clean"), T.strip_legal_suffixes(T.clean_business_name(n)).alias("stripped"), T.strip_all_suffixes(n).alias("bare"), T.clean_address(F.col("business_address")).alias("address"), F.array_join(T.extract_core_name_tokens(n), " ").alias("core"))
+
+
+def blocking_keys(spark, sf_dir):
+    """BK0 to BK8: capped keys of the targets, by index."""
+    _, t = _sides(spark, sf_dir)
+    return blocking.index_targets(blocking.enrich(t)).groupBy("index").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"))
+
+
+def candidate_pairs(spark, sf_dir):
+    """JN1, JN2, BK13, WN2: candidates of every source record."""
+    s, t = _sides(spark, sf_dir)
+    return blocking.candidates(blocking.enrich(s), blocking.enrich(t), 80)
+
+
+def candidate_lists(spark, sf_dir):
+    """SK2, SC6: sorted candidate lists and back."""
+    s, t = _sides(spark, sf_dir)
+    return explode_lists(blocking.candidate_lists(blocking.candidates(blocking.enrich(s), blocking.enrich(t), 80, True), s), "candidate_entity_ids")
+
+
+def blocking_quality(spark, sf_dir):
+    """AG4: recall, counts and reduction of the candidates."""
+    s, t = _sides(spark, sf_dir)
+    pairs = blocking.candidates(blocking.enrich(s), blocking.enrich(t), 80)
+    every = _ids(s).join(pairs, "source1_entity_id", "left")
+    return blocking.evaluate_blocking(every, _truth(s, t), t.count())
+
+
+def pair_features(spark, sf_dir):
+    """FT1, SM1 to SM6: the 25 features of pairs of equal core names."""
+    s, t = _sides(spark, sf_dir)
+    return matching.features(_exact(s, t), s, t)
+
+
+def simple_scores(spark, sf_dir):
+    """FT2, FT3: eight plain features and the score without a model."""
+    s, t = _sides(spark, sf_dir)
+    return matching.heuristic_score(matching.simple_features(_exact(s, t), s, t))
+
+
+def set_similarity(spark, sf_dir):
+    """SM4 to SM6 over names of pairs with equal held-out words."""
+    s, t = _sides(spark, sf_dir)
+    p = _truth(s, t).join(s.select(F.col("entity_id").alias("source1_entity_id"), F.col("business_name").alias("a")), "source1_entity_id").join(t.select(F.col("entity_id").alias("candidate_entity_id"), F.col("business_name").alias("b")), "candidate_entity_id")
+    x, y = T.extract_tokens(F.col("a")), T.extract_tokens(F.col("b"))
+    return p.select("source1_entity_id", "candidate_entity_id", F.round(S.jaccard_similarity(x, y), 6).alias("jaccard"), F.round(S.dice_similarity(x, y), 6).alias("dice"), F.round(S.char_ngram_jaccard(F.lower("a"), F.lower("b")), 6).alias("ngram"))
+
+
+def string_similarity(spark, sf_dir):
+    """SM1, SM2, SM3, SM8 over names of pairs with equal held-out words."""
+    s, t = _sides(spark, sf_dir)
+    p = _truth(s, t).join(s.select(F.col("entity_id").alias("source1_entity_id"), F.col("business_name").alias("a")), "source1_entity_id").join(t.select(F.col("entity_id").alias("candidate_entity_id"), F.col("business_name").alias("b")), "candidate_entity_id")
+    a, b = F.col("a"), F.col("b")
+    return p.select("source1_entity_id", "candidate_entity_id", S.levenshtein_similarity(a, b).alias("levenshtein"), S.lcs_similarity(a, b).alias("lcs"), S.token_sort_similarity(T.extract_tokens(a), T.extract_tokens(b)).alias("token_sort"), S.indel_similarity(a, b).alias("indel"))
+
+
+def match_records(spark, sf_dir):
+    """MD9, MD10, JN7, AG15: every source record with its matches, best first."""
+    s, t = _sides(spark, sf_dir)
+    return pipeline.resolve(s, t, matching.DEFAULT_MODEL, THRESHOLD)[1]
+
+
+def match_summary(spark, sf_dir):
+    """AG13: totals of the matches."""
+    return matching.summary(match_records(spark, sf_dir))
+
+
+def remaining_records(spark, sf_dir):
+    """JN8: source records that an earlier run has not done (it did those with a true match)."""
+    s, t = _sides(spark, sf_dir)
+    return resume(s, _truth(s, t)).select("entity_id")
+
+
+def training(spark, sf_dir):
+    """MD1 to MD4, SP1, TH1: a fitted model's threshold grid on held-out ids."""
+    s, t = _sides(spark, sf_dir)
+    return pipeline.train(s, t, _truth(s, t))[1]
+
+
+def profile_sources(spark, sf_dir):
+    """AG1, AG3: a profile of all records."""
+    return evaluate.profile_source(business_records(spark, sf_dir))
+
+
+def countries(spark, sf_dir):
+    """AG17, LM2: the 15 most frequent countries."""
+    return evaluate.country_counts(business_records(spark, sf_dir), 15)
+
+
+def _truth_lists(s, t):
+    return _ids(s).join(_truth(s, t).groupBy("source1_entity_id").agg(F.collect_set("candidate_entity_id").alias("match_list")), "source1_entity_id", "left").withColumn("match_list", F.coalesce("match_list", F.expr("cast(array() as array<string>)")))
+
+
+def profile_truth(spark, sf_dir):
+    """AG2: a profile of the true matches."""
+    return evaluate.profile_truth(_truth_lists(*_sides(spark, sf_dir)))
+
+
+def match_counts(spark, sf_dir):
+    """AG2, AG16: how many records have how many matches."""
+    return evaluate.match_count_distribution(_truth_lists(*_sides(spark, sf_dir)))
+
+
+def entity_scores(spark, sf_dir):
+    """AG5: precision, recall and F0.5 of every record."""
+    s, t = _sides(spark, sf_dir)
+    e = evaluate.entity_scores(_exact(s, t), _truth(s, t), _ids(s))
+    return e.select("source1_entity_id", "n_pred", "n_true", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f05", 6).alias("f05"))
+
+
+def macro_scores(spark, sf_dir):
+    """AG6, AG7: macro means and singleton accuracy."""
+    s, t = _sides(spark, sf_dir)
+    e = evaluate.evaluate(_exact(s, t), _truth(s, t), _ids(s))
+    return e.select(*[F.round(c, 6).alias(c) for c in e.columns])
+
+
+def pair_scores(spark, sf_dir):
+    """AG8, AG10: pair counts and micro metrics by target source."""
+    s, t = _sides(spark, sf_dir)
+    src = lambda d: d.withColumn("source", F.substr("candidate_entity_id", F.lit(1), F.lit(2)))
+    m = evaluate.pair_metrics(src(_exact(s, t)), src(_truth(s, t)), ["source"])
+    return m.select("source", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f05")])
+
+
+def sampled_ids(spark, sf_dir):
+    """SP3: 20 source ids by hash."""
+    return evaluate.sample_ids(_ids(_sides(spark, sf_dir)[0]), 20)
+
+
+def grouped_split(spark, sf_dir):
+    """SP1: true pairs with the side of their id."""
+    return evaluate.grouped_split(_truth(*_sides(spark, sf_dir)))
+
+
+def sampled_targets(spark, sf_dir):
+    """SP5: true targets and a share of others."""
+    s, t = _sides(spark, sf_dir)
+    return evaluate.sample_targets(t, _truth(s, t)).select("entity_id")
+
+
+def validation(spark, sf_dir):
+    """VA2 to VA9: findings of the exact-name matches as a submission."""
+    s, t = _sides(spark, sf_dir)
+    p = _exact(s, t)
+    lists = p.groupBy("source1_entity_id").agg(F.array_join(F.array_sort(F.collect_list("candidate_entity_id")), ",").alias("ids"))
+    return evaluate.validate_lists(lists, _ids(s), t)
+
+
+def outside_candidates(spark, sf_dir):
+    """VA7: exact-name matches that hold no true pair."""
+    s, t = _sides(spark, sf_dir)
+    return evaluate.not_in_candidates(_exact(s, t), _truth(s, t))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        records, normalized, names, blocking_keys, candidate_pairs, candidate_lists, blocking_quality, pair_features, simple_scores, set_similarity, string_similarity, match_records, match_summary, remaining_records,
+        training, profile_sources, countries, profile_truth, match_counts, entity_scores, macro_scores, pair_scores, sampled_ids, grouped_split, sampled_targets, validation, outside_candidates,
+    )
+}
+
+_REC = r"""
+d AS (SELECT doc_id, lang, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+rec AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id,
+  array_to_string(list_concat(w[1:3], [(['Inc', 'Pvt Ltd', 'LLC', 'GmbH', 'Co', 'Group'])[doc_id % 6 + 1]]), ' ') AS business_name,
+  array_to_string(list_concat(list_concat([CAST(len(w) AS VARCHAR)], w[4:5]), [(['St', 'Rd', 'Ave', 'Blvd'])[doc_id % 4 + 1], lpad(CAST(len(w) * 37 % 100000 AS VARCHAR), 5, '0')]), ' ') AS business_address,
+  CASE WHEN doc_id % 17 = 0 THEN '' WHEN lang = 'en' THEN (['USA', 'US'])[doc_id % 2 + 1] WHEN lang = 'fr' THEN 'FR' WHEN lang = 'de' THEN 'Germany' ELSE 'Spain' END AS country,
+  doc_id AS pos, 'S' || (doc_id % 3 + 1) AS source, array_to_string(w[6:17], ' ') AS truth_key, len(w) AS no FROM d),
+truth AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM rec a JOIN rec b ON a.truth_key = b.truth_key WHERE a.source = 'S1' AND b.source <> 'S1' AND a.truth_key <> '' AND a.no >= 17 AND b.no >= 17),
+ids AS (SELECT entity_id AS source1_entity_id FROM rec WHERE source = 'S1'),
+core AS (SELECT entity_id, source, country, trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(lower(business_name)), '([.,/()-])(\s*[.,/()-])+', '\1', 'g'), '^$', '')), '[\s,]+(pvt ltd|group|gmbh|inc|llc|co)\s*$', ''), '.,;: ') AS k,
+  CASE country WHEN 'USA' THEN 'united states' WHEN 'US' THEN 'united states' WHEN 'FR' THEN 'france' ELSE lower(country) END AS c FROM rec),
+ex AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM core a JOIN core b ON a.k = b.k WHERE a.source = 'S1' AND b.source <> 'S1' AND (a.c = '' OR b.c = '' OR a.c = b.c)),
+lists AS (SELECT i.source1_entity_id, count(candidate_entity_id) AS n, count_if(candidate_entity_id LIKE 'S2-%') AS s2, count_if(candidate_entity_id LIKE 'S3-%') AS s3 FROM ids i LEFT JOIN truth t USING (source1_entity_id) GROUP BY 1),
+per AS (SELECT source1_entity_id, count(p) AS n_pred, count(t) AS n_true, count_if(p IS NOT NULL AND t IS NOT NULL) AS tp
+  FROM (SELECT *, 1 AS p FROM ex) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (source1_entity_id, candidate_entity_id) GROUP BY 1),
+pr AS (SELECT source1_entity_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp,
+  CASE WHEN coalesce(n_pred, 0) = 0 AND coalesce(n_true, 0) = 0 THEN 1.0 ELSE coalesce(tp, 0) / greatest(coalesce(n_pred, 0), 1) END AS p,
+  CASE WHEN coalesce(n_pred, 0) = 0 AND coalesce(n_true, 0) = 0 THEN 1.0 ELSE coalesce(tp, 0) / greatest(coalesce(n_true, 0), 1) END AS r FROM ids LEFT JOIN per USING (source1_entity_id)),
+sc AS (SELECT *, CASE WHEN p <= 0 OR r <= 0 THEN 0.0 ELSE 1.25 * p * r / (0.25 * p + r) END AS f FROM pr)
+"""
+_SPLIT = r"'[\s\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+'"
+
+
+def _sql(body: str) -> str:
+    return f"WITH {_REC} {body}"
+
+
+def _profile_sql() -> str:
+    parts = ["count(*) AS rows"]
+    for c in ("entity_id", "business_name", "business_address", "country"):
+        n = f"CASE WHEN trim({c}) = '' THEN 0 ELSE length({c}) END"
+        parts += [f"count_if(trim({c}) = '') AS missing_{c}", f"min({n}) AS min_{c}", f"max({n}) AS max_{c}", f"round(avg({n}), 2) AS mean_{c}"]
+    return _sql("SELECT " + ", ".join(parts + [f"count_if(entity_id LIKE '{p}-%') AS prefix_{p}" for p in ("S1", "S2", "S3")]) + " FROM rec")
+
+
+ORACLE = {
+    "records": _sql("SELECT entity_id, business_name, business_address, country, source FROM rec"),
+    "normalized": _sql(f"""SELECT entity_id, CASE country WHEN 'USA' THEN 'united states' WHEN 'US' THEN 'united states' WHEN 'FR' THEN 'france' ELSE lower(country) END AS norm_country,
+      array_to_string(list_sort(list_distinct(list_filter(string_split_regex(nfc_normalize(lower(business_address)), {_SPLIT}), lambda x: x <> ''))), '|') AS address_tokens,
+      array_to_string(list_sort(list_distinct(regexp_extract_all(business_address, '\\d+'))), '|') AS numbers,
+      array_to_string(list_transform(list_sort(list_distinct(regexp_extract_all(business_address, '\\d+'))), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END), '|') AS plain_numbers,
+      CASE source WHEN 'S1' THEN 'source1' WHEN 'S2' THEN 'source2' ELSE 'source3' END AS label FROM rec"""),
+    "remaining_records": _sql("SELECT entity_id FROM rec WHERE source = 'S1' AND entity_id NOT IN (SELECT source1_entity_id FROM truth)"),
+    "profile_sources": _profile_sql(),
+    "countries": _sql("SELECT country, count(*) AS n FROM rec GROUP BY 1 ORDER BY n DESC, country LIMIT 15"),
+    "profile_truth": _sql("SELECT count(*) AS rows, count_if(n = 0) AS singletons, count_if(n > 0) AS has_matches, CAST(sum(s2) AS BIGINT) AS s2_matches, CAST(sum(s3) AS BIGINT) AS s3_matches FROM lists"),
+    "match_counts": _sql("SELECT CAST(n AS INTEGER) AS match_count, count(*) AS n FROM lists GROUP BY 1"),
+    "entity_scores": _sql("SELECT source1_entity_id, n_pred, n_true, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f05 FROM sc"),
+    "macro_scores": _sql("SELECT round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f05, round(coalesce(avg(CASE WHEN n_true = 0 THEN CASE WHEN n_pred = 0 THEN 1.0 ELSE 0.0 END END), 1.0), 6) AS singleton_accuracy, round(coalesce(avg(CASE WHEN n_true > 0 THEN f END), 0.0), 6) AS non_singleton_f05 FROM sc"),
+    "pair_scores": _sql("""SELECT source, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p <= 0 OR r <= 0 THEN 0.0 ELSE 1.25 * p * r / (0.25 * p + r) END, 6) AS f05 FROM (
+      SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM (SELECT substr(candidate_entity_id, 1, 2) AS source, count_if(p IS NOT NULL AND t IS NOT NULL) AS tp, count_if(t IS NULL) AS fp, count_if(p IS NULL) AS fn
+      FROM (SELECT *, 1 AS p FROM ex) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (source1_entity_id, candidate_entity_id) GROUP BY 1))"""),
+    "sampled_ids": _sql("SELECT source1_entity_id FROM ids ORDER BY md5(source1_entity_id || '#42'), 1 LIMIT 20"),
+    "grouped_split": _sql("""SELECT t.*, v.source1_entity_id IS NOT NULL AS is_val FROM truth t LEFT JOIN (SELECT source1_entity_id FROM (SELECT source1_entity_id, row_number() OVER (ORDER BY md5(source1_entity_id || '#42'), source1_entity_id) AS r, count(*) OVER () AS n
+      FROM (SELECT DISTINCT source1_entity_id FROM truth)) WHERE r <= greatest(1, CAST(floor(n * 0.2) AS BIGINT))) v ON t.source1_entity_id = v.source1_entity_id"""),
+    "sampled_targets": _sql("""SELECT DISTINCT candidate_entity_id AS entity_id FROM truth UNION ALL SELECT entity_id FROM (SELECT entity_id, row_number() OVER (ORDER BY md5(entity_id || '#42'), entity_id) AS r FROM rec WHERE source <> 'S1' AND entity_id NOT IN (SELECT candidate_entity_id FROM truth))
+      WHERE r <= (SELECT CAST(floor(count(DISTINCT candidate_entity_id) * 0.2) AS BIGINT) FROM truth)"""),
+    "outside_candidates": _sql("SELECT source1_entity_id, candidate_entity_id FROM ex EXCEPT SELECT source1_entity_id, candidate_entity_id FROM truth"),
+}
