@@ -50,6 +50,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text freed of repeated passages, n_lines (before) and n_removed."""
     gone = stage(removed_lines(docs), "gone").withColumnRenamed("key", "_key")
-    d = docs.withColumn("_key", row_key("doc_id", "text")).join(gone, "_key", "left")
+    # A merge join at every size: the table of removed lines grows with the documents.
+    d = docs.withColumn("_key", row_key("doc_id", "text")).join(gone.hint("merge"), "_key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return d.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
