@@ -8,9 +8,10 @@ interval, and count for weights above that level. A register keeps its first poi
 agree in a register with the probability of their weighted Jaccard similarity. Only points before a
 bound at which all registers are filled are made, so a long text costs little more than one hash per shingle.
 
-Signatures are banded (BANDS x ROWS: a pair of similarity 0.8 is missed with probability 5e-6).
-Equal texts are one node. In each bucket every member is compared with a leader; those that
-join no leader's class elect further leaders (4, 16, 64 at a time) among themselves until none is left, so a group
+Signatures are banded (BANDS x ROWS: a pair of similarity 0.8 is missed with probability 7e-6).
+Equal texts are one node. In each bucket every member is compared with a leader, the member whose buckets
+are the largest together (in a group of copies, that most like all the others); those that join no leader's class elect
+further leaders (3, 9, 27, 64 at a time) among themselves until none is left, so a group
 of copies does not yield all its pairs and no bucket is capped. Pairs count if the exact multiset overlap is at least 0.8; classes are the connected components.
 
 Defined results: texts without words are in no class but their own; rows of equal doc_id and text are one node;
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, words
+from .common import discard, stage, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
-#: Of REGISTERS; a pair of similarity 0.8 agrees in 192 on average, with a deviation of 6.2.
-LIKELY = 160
+#: Of REGISTERS; a pair of similarity 0.8 agrees in 120 on average, with a deviation of 4.9.
+LIKELY = 98
 U = np.uint64
 
 
@@ -144,55 +145,64 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hashed(docs: DataFrame) -> DataFrame:
     w = words(F.lower(F.col("text")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), w.alias("_w")).select("doc_id", F.md5(F.array_join("_w", " ")).alias("node"), F.transform("_w", lambda x: F.xxhash64(x)).alias("w"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), w.alias("_w")).select("doc_id", F.unhex(F.md5(F.array_join("_w", " "))).alias("node"), F.transform("_w", lambda x: F.xxhash64(x)).alias("w"))
+
+
+def crowded(nodes: DataFrame) -> DataFrame:
+    """value, node, n, central, root: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
+    each = nodes.select("node", "n", F.explode("bands").alias("value"))
+    crowd = each.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
+    per_node = each.join(crowd, "value").groupBy("node", "n").agg(F.sum("c").alias("central"), F.collect_list("value").alias("values"))
+    return per_node.select(F.explode("values").alias("value"), "node", "n", "central", F.col("node").alias("root"))
+
+
+def elect(buckets: DataFrame, leaders: int) -> DataFrame:
+    """value, leader, m, lc, leader_root: the most central members of each bucket."""
+    if leaders == 1:
+        lead = buckets.groupBy("value").agg(F.max(F.struct("central", "node", "n", "root")).alias("l")).select("value", "l.*")
+    else:
+        lead = buckets.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("central"), F.desc("node")))).filter(F.col("place") <= leaders)
+    return lead.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("central").alias("lc"), F.col("root").alias("leader_root"))
 
 
 def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """node, root: the class of every node that has a verified link."""
+    """node, root: the class of every node that shares a bucket; one of no link is its own root."""
     nodes = stage(sigs.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "nodes")
-    each = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
-    crowd = each.groupBy("band", "value").agg(F.count("*").alias("c")).filter("c > 1")
-    buckets = stage(each.join(crowd.select("band", "value"), ["band", "value"]).select("band", "value", "node", "n", F.col("node").alias("root")), "buckets")
-    els = stage(_element_sets(docs, buckets.select("node").distinct()), "elements")
-    found, leaders = None, 1
-    while True:
-        # The order of election differs between groups of bands, so that leaders differ.
-        order = [F.xxhash64("node", F.col("band") % 4), F.col("node")]
-        if leaders == 1:
-            lead = buckets.groupBy("band", "value").agg(F.min(F.struct(order[0].alias("r"), "node", "n", "root")).alias("l")).select("band", "value", F.lit(1).alias("place"), "l.*")
-        else:
-            lead = buckets.withColumn("place", F.row_number().over(Window.partitionBy("band", "value").orderBy(*order))).filter(F.col("place") <= leaders).withColumn("r", order[0])
-        lead = lead.select("band", "value", F.col("r").alias("lr"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("root").alias("leader_root"))
-        after = (order[0] > F.col("lr")) | ((order[0] == F.col("lr")) & (F.col("node") > F.col("leader")))
-        rest = stage(buckets.join(lead, ["band", "value"]).filter(after & (F.col("root") != F.col("leader_root"))), "rest")
+    buckets = stage(crowded(nodes), "buckets")
+    roots = stage(buckets.select("node", "root").distinct(), "roots")
+    els = stage(_element_sets(docs, roots.select("node")), "elements")
+    leaders = 1
+    while not buckets.isEmpty():
+        lead = elect(buckets, leaders)
+        after = (F.col("central") < F.col("lc")) | ((F.col("central") == F.col("lc")) & (F.col("node") < F.col("leader")))
         close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-        pairs = rest.filter(close).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        # Pairs whose registers agree far too seldom (five deviations below) need no texts.
-        near = pairs.join(nodes.select(F.col("node").alias("a"), F.col("bytes").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("bytes").alias("y")), "b")
+        pairs = buckets.join(lead, ["value"]).filter(after & close & (F.col("root") != F.col("leader_root"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb")).distinct()
+        # Pairs whose registers agree far too seldom need no texts.
+        near = stage(pairs, "pairs").join(nodes.select(F.col("node").alias("a"), F.col("bytes").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("bytes").alias("y")), "b")
         agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
-        likely = stage(near.filter(agree >= LIKELY).select("a", "b"), "likely")
+        likely = stage(near.filter(agree >= LIKELY).select("a", "b", "ra", "rb"), "likely")
         both = likely.join(els.select(F.col("node").alias("a"), F.col("els").alias("x")), "a").join(els.select(F.col("node").alias("b"), F.col("els").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        same = stage(both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-        found = same if found is None else found.unionByName(same)
-        roots = components(found.distinct())
-        # Who has joined a leader's class, or was compared with all leaders, is done with them; the others elect again.
-        fresh = roots.withColumnRenamed("root", "new")
-        led = lead.select("band", "value", "leader", F.col("lr")).join(fresh.select(F.col("node").alias("leader"), F.col("new").alias("leader_new")), "leader", "left").withColumn("leader_new", F.coalesce("leader_new", "leader"))
-        now = buckets.drop("root").join(fresh, "node", "left").withColumn("root", F.coalesce("new", "node")).drop("new")
-        left = now.join(led.select("band", "value", F.col("leader_new").alias("root")).distinct(), ["band", "value", "root"], "left_anti")
-        several = left.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "value")
-        buckets = stage(left.join(several, ["band", "value"], "left_semi").select("band", "value", "node", "n", "root"), "buckets")
-        leaders = min(64, leaders * 4)
-        if buckets.isEmpty():
-            return roots
+        same = both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        # The links of a round join classes of the rounds before: only those that are joined take part.
+        moved = components(same).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        move = lambda d, c, m=moved: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        roots = stage(move(roots, "root"), "roots")
+        # Who is in a leader's class, and the leaders, are done in the bucket; the others elect again.
+        led = move(lead.select("value", F.col("leader_root").alias("root")).distinct(), "root")
+        left = stage(move(buckets, "root").join(led, ["value", "root"], "left_anti"), "left")
+        several = left.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
+        before, buckets = buckets, stage(left.join(several, "value", "left_semi"), "buckets")
+        discard(before, left, likely)
+        leaders = min(64, leaders * 3)
+    return roots
 
 
 def _element_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, els of the wanted nodes, made from their whole texts. Texts are dealt, which compress better than hashes."""
-    d = docs.select("text", F.md5(F.array_join(words(F.lower(F.col("text"))), " ")).alias("node"))
+    d = docs.select("text", F.unhex(F.md5(F.array_join(words(F.lower(F.col("text"))), " "))).alias("node"))
     d = d.join(wanted, "node", "left_semi").select("node", F.transform(words(F.lower(F.col("text"))), lambda x: F.xxhash64(x)).alias("w"))
-    return d.mapInArrow(_elements, "node string, els array<bigint>").dropDuplicates(["node"])
+    return d.mapInArrow(_elements, "node binary, els array<bigint>").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class."""
-    sigs = stage(_hashed(docs).mapInArrow(_sign, "doc_id long, node string, n long, bands array<bigint>, bytes array<smallint>"), "signatures")
+    sigs = stage(_hashed(docs).mapInArrow(_sign, "doc_id long, node binary, n long, bands array<bigint>, bytes array<smallint>"), "signatures")
     roots = links(docs, sigs)
     own = F.when(F.col("n") > 0, F.col("node"))
     least = sigs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
