@@ -8,10 +8,10 @@ interval, and count for weights above that level. A register keeps its first poi
 agree in a register with the probability of their weighted Jaccard similarity. Only points before a
 bound at which all registers are filled are made, so a long text costs little more than one hash per shingle.
 
-Signatures are banded (BANDS x ROWS: a pair of similarity 0.8 is missed with probability 7e-6).
+Signatures are banded (BANDS x ROWS: a pair of similarity 0.8 is missed with probability 7e-5).
 Equal texts are one node. In each bucket every member is compared with a leader, the member whose buckets
 are the largest together (in a group of copies, that most like all the others); those that join no leader's class elect
-further leaders (3, 9, 27, 64 at a time) among themselves until none is left, so a group
+further leaders (16, then 64 at a time) among themselves until none is left, so a group
 of copies does not yield all its pairs and no bucket is capped. Pairs count if the exact multiset overlap is at least 0.8; classes are the connected components.
 
 Defined results: texts without words are in no class but their own; rows of equal doc_id and text are one node;
@@ -25,17 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stage, words
+from .common import discard, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Of REGISTERS; a pair of similarity 0.8 agrees in 120 on average, with a deviation of 4.9.
-LIKELY = 98
+#: Of REGISTERS' lowest bits, half in each of two longs; a pair of similarity 0.8 agrees in 108 on average, with a deviation of 3.3.
+LIKELY = 93
+U = np.uint64
+#: Words whose hashes a Python worker holds.
+HELD_WORDS = 1_000_000
 U = np.uint64
 
 
@@ -126,88 +130,118 @@ def _list_of(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, made once for each word held."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = got = xxhash.xxh64_intdigest(word)
+        return got
+
+
+def _shingled(texts: pa.Array, held: _Hashes) -> Iterator[np.ndarray]:
+    for text in texts:
+        w = text.as_py().lower().encode().split()  # at U+0020 and U+0009 to U+000D
+        yield shingles(np.fromiter(map(held.__getitem__, w), np.uint64, len(w)))
+
+
+def _half(low: np.ndarray) -> np.ndarray:
+    """Bits as one long for each row."""
+    return (low << np.arange(low.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
+    held = _Hashes()
     for b in batches:
-        got = [shingles(w) for w in _lists(b.column("w"))]
-        sizes = pa.array([len(s) for s in got], pa.int64())
-        sigs = [signature(s) if len(s) else None for s in got]
-        sig = _list_of([np.zeros(0, np.int64) if s is None else bands(s) for s in sigs])
-        low = pa.array([[] if s is None else (s >> U(56)).astype(np.int16) for s in sigs], pa.list_(pa.int16()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), sizes, sig, low], ["doc_id", "node", "n", "bands", "bytes"])
+        sizes, sigs = [], []
+        for s in _shingled(b.column("text"), held):
+            sizes.append(len(s))
+            sigs.append(signature(s) if len(s) else np.zeros(REGISTERS, np.uint64))
+        low = np.array(sigs, np.uint64).reshape(-1, REGISTERS) >> U(63)
+        sig = _list_of([bands(s) if n else np.zeros(0, np.int64) for n, s in zip(sizes, sigs, strict=True)])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(sizes, pa.int64()), sig, pa.array(_half(low[:, ::2])), pa.array(_half(low[:, 1::2]))], ["doc_id", "node", "n", "bands", "even", "odd"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
+    held = _Hashes()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("node"), _list_of([elements(shingles(w)) for w in _lists(b.column("w"))])], ["node", "els"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), _list_of([elements(s) for s in _shingled(b.column("text"), held)])], ["node", "els"])
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    w = words(F.lower(F.col("text")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), w.alias("_w")).select("doc_id", F.unhex(F.md5(F.array_join("_w", " "))).alias("node"), F.transform("_w", lambda x: F.xxhash64(x)).alias("w"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, node, text: the key of a text is its digest."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return d.select("doc_id", F.unhex(F.md5("text")).alias("node"), "text")
 
 
 def crowded(nodes: DataFrame) -> DataFrame:
-    """value, node, n, central, root: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
-    each = nodes.select("node", "n", F.explode("bands").alias("value"))
+    """value, node, n, even, odd, central, root: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
+    each = nodes.select("node", F.explode("bands").alias("value"))
     crowd = each.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
-    per_node = each.join(crowd, "value").groupBy("node", "n").agg(F.sum("c").alias("central"), F.collect_list("value").alias("values"))
-    return per_node.select(F.explode("values").alias("value"), "node", "n", "central", F.col("node").alias("root"))
+    per_node = each.join(crowd, "value").groupBy("node").agg(F.sum("c").alias("central"), F.collect_list("value").alias("values"))
+    return per_node.join(nodes.select("node", "n", "even", "odd"), "node").select(F.explode("values").alias("value"), "node", "n", "even", "odd", "central", F.col("node").alias("root"))
 
 
 def elect(buckets: DataFrame, leaders: int) -> DataFrame:
-    """value, leader, m, lc, leader_root: the most central members of each bucket."""
+    """value, leader, m, le, lo, lc, leader_root: the most central members of each bucket."""
     if leaders == 1:
-        lead = buckets.groupBy("value").agg(F.max(F.struct("central", "node", "n", "root")).alias("l")).select("value", "l.*")
+        lead = buckets.groupBy("value").agg(F.max(F.struct("central", "node", "n", "even", "odd", "root")).alias("l")).select("value", "l.*")
     else:
         lead = buckets.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("central"), F.desc("node")))).filter(F.col("place") <= leaders)
-    return lead.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("central").alias("lc"), F.col("root").alias("leader_root"))
+    return lead.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("even").alias("le"), F.col("odd").alias("lo"), F.col("central").alias("lc"), F.col("root").alias("leader_root"))
+
+
+def compare(buckets: DataFrame, lead: DataFrame, els: DataFrame) -> DataFrame:
+    """a, b: the classes of every member and leader of a bucket that are similar."""
+    after = (F.col("central") < F.col("lc")) | ((F.col("central") == F.col("lc")) & (F.col("node") < F.col("leader")))
+    close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
+    # Pairs whose registers agree far too seldom need no texts.
+    apart = F.bit_count(F.col("even").bitwiseXOR(F.col("le"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("lo")))
+    pairs = buckets.join(lead, "value").filter(after & close & (apart <= REGISTERS - LIKELY) & (F.col("root") != F.col("leader_root"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb")).distinct()
+    both = pairs.join(els.select(F.col("node").alias("a"), F.col("els").alias("x")), "a").join(els.select(F.col("node").alias("b"), F.col("els").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """node, root: the class of every node that shares a bucket; one of no link is its own root."""
-    nodes = stage(sigs.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "nodes")
+    """node, rep, root: the smallest doc_id and the class of every node; one of no link is its own root."""
+    nodes = stage(sigs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "even", "odd")]), "nodes")
     buckets = stage(crowded(nodes), "buckets")
-    roots = stage(buckets.select("node", "root").distinct(), "roots")
-    els = stage(_element_sets(docs, roots.select("node")), "elements")
-    leaders = 1
+    roots = buckets.select("node", "root").distinct()
+    els = stage(_element_sets(docs, nodes.select("node", "rep").join(roots.select("node"), "node", "left_semi")), "elements")
+    leaders, held = 1, [buckets]
     while not buckets.isEmpty():
         lead = elect(buckets, leaders)
-        after = (F.col("central") < F.col("lc")) | ((F.col("central") == F.col("lc")) & (F.col("node") < F.col("leader")))
-        close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-        pairs = buckets.join(lead, ["value"]).filter(after & close & (F.col("root") != F.col("leader_root"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb")).distinct()
-        # Pairs whose registers agree far too seldom need no texts.
-        near = stage(pairs, "pairs").join(nodes.select(F.col("node").alias("a"), F.col("bytes").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("bytes").alias("y")), "b")
-        agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
-        likely = stage(near.filter(agree >= LIKELY).select("a", "b", "ra", "rb"), "likely")
-        both = likely.join(els.select(F.col("node").alias("a"), F.col("els").alias("x")), "a").join(els.select(F.col("node").alias("b"), F.col("els").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        same = both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         # The links of a round join classes of the rounds before: only those that are joined take part.
-        moved = components(same).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        moved = components(compare(buckets, lead, els)).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new"))
         move = lambda d, c, m=moved: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        roots = stage(move(roots, "root"), "roots")
+        roots = move(roots, "root")
         # Who is in a leader's class, and the leaders, are done in the bucket; the others elect again.
-        led = move(lead.select("value", F.col("leader_root").alias("root")).distinct(), "root")
+        led = move(lead.select("value", F.col("leader_root").alias("root")), "root").distinct()
         left = stage(move(buckets, "root").join(led, ["value", "root"], "left_anti"), "left")
         several = left.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
-        before, buckets = buckets, stage(left.join(several, "value", "left_semi"), "buckets")
-        discard(before, left, likely)
-        leaders = min(64, leaders * 3)
-    return roots
+        buckets = stage(left.join(several, "value", "left_semi"), "buckets")
+        discard(left, *held[1:])
+        held[1:] = [buckets]
+        leaders = min(64, leaders * 16)
+    out = stage(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    discard(*held, els, nodes)
+    return out
 
 
 def _element_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, els of the wanted nodes, made from their whole texts. Texts are dealt, which compress better than hashes."""
-    d = docs.select("text", F.unhex(F.md5(F.array_join(words(F.lower(F.col("text"))), " "))).alias("node"))
-    d = d.join(wanted, "node", "left_semi").select("node", F.transform(words(F.lower(F.col("text"))), lambda x: F.xxhash64(x)).alias("w"))
-    return d.mapInArrow(_elements, "node binary, els array<bigint>").dropDuplicates(["node"])
+    """node, els of the wanted nodes, made from the whole text of one row of each. Rows are dealt by node and doc_id, so that copies go apart."""
+    one = wanted.select("node", F.col("rep").alias("doc_id"))
+    d = _keyed(docs).alias("d").join(one.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    return d.select("node", "text").mapInArrow(_elements, "node binary, els array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node -> root: the smallest node of its component. Labels spread and jump until none changes."""
-    both = stage(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")), "edges")
+    both = stage(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("to")).distinct(), "edges")
     label = stage(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
     while True:
         near = both.join(label.select(F.col("node").alias("to"), F.col("root").alias("r")), "to").groupBy("node").agg(F.min("r").alias("r"))
@@ -215,25 +249,34 @@ def components(edges: DataFrame) -> DataFrame:
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
         after = stage(spread.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
         changed = not after.filter("old <> root").isEmpty()
-        label = after.select("node", "root")
+        discard(label)
+        label = after
         if not changed:
-            return label
+            discard(both)
+            return label.select("node", "root")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """doc_id, node, class_id, first: whether the row is the one that stands for its class."""
+    sigs = stage(_keyed(docs).mapInArrow(_sign, "doc_id long, node binary, n long, bands array<bigint>, even long, odd long"), "signatures")
+    roots = links(docs, sigs)
+    # Null ids come last.
+    ids = roots.groupBy("root").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "node")).alias("least"))
+    by_node = stage(roots.join(ids, "root").select(F.col("node").alias("_node"), F.col("least.rep").alias("class_id"), (F.col("node") == F.col("least.node")).alias("least")), "classes")
+    worded = F.col("n") > 0
+    out = sigs.join(by_node, F.when(worded, F.col("node")) == F.col("_node"), "left")
+    return out.select("doc_id", "node", F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), (~worded | (F.col("least") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("first"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class."""
-    sigs = stage(_hashed(docs).mapInArrow(_sign, "doc_id long, node binary, n long, bands array<bigint>, bytes array<smallint>"), "signatures")
-    roots = links(docs, sigs)
-    own = F.when(F.col("n") > 0, F.col("node"))
-    least = sigs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = least.groupBy("root").agg(F.min("first").alias("class_id"))
-    by_node = stage(least.join(ids, "root").select(F.col("node").alias("_node"), "class_id"), "classes")
-    out = sigs.join(by_node, own == F.col("_node"), "left")
-    return out.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    return _classed(docs).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs of each class: that of the smallest doc_id, with all its columns."""
-    keep = stage(classes(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    # Rows that share a kept doc_id: one row of them stays, unless the id is null (nothing tells those apart).
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """One row of docs of each class: that of the smallest doc_id, with all its columns. Of rows that are equal in doc_id and text, one stays."""
+    key = lambda node: F.concat(node, F.coalesce(F.col("doc_id").cast("long").cast("string").cast("binary"), F.lit(b"")))
+    name = "_kept" + "_" * max(len(c) for c in docs.columns)  # no column has it
+    keep = stage(_classed(docs).filter("first").select(key(F.col("node")).alias(name)).distinct(), "kept")
+    keyed = docs.withColumn(name, key(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))))
+    return keyed.join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
