@@ -11,8 +11,9 @@ bound at which all registers are filled are made, so a long text costs little mo
 Signatures are banded (BANDS x ROWS: a pair of similarity 0.8 is missed with probability 7e-5).
 Equal texts are one node. In each bucket every member is compared with a leader, the member whose buckets
 are the largest together (in a group of copies, that most like all the others); those that join no leader's class elect
-further leaders (16, then 64 at a time) among themselves until none is left, so a group
-of copies does not yield all its pairs and no bucket is capped. Pairs count if the exact multiset overlap is at least 0.8; classes are the connected components.
+further leaders (2, 4, ... 64 at a time; in a bucket of at most SMALL all at once) among themselves until none is left, so a group
+of copies does not yield all its pairs and no bucket is capped. The first round takes a third of the buckets, which
+joins most of a group of copies before its members meet again in the others; the later rounds take all. Pairs count if the exact multiset overlap is at least 0.8; classes are the connected components.
 
 Defined results: texts without words are in no class but their own; rows of equal doc_id and text are one node;
 the class id is the smallest doc_id of a class (null doc_ids: null, only where all are null);
@@ -38,6 +39,8 @@ REGISTERS = BANDS * ROWS
 #: Of REGISTERS' lowest bits, half in each of two longs; a pair of similarity 0.8 agrees in 108 on average, with a deviation of 3.3.
 LIKELY = 93
 U = np.uint64
+#: Buckets with so few members left are finished in one round: each is compared with the others.
+SMALL = 8
 #: Words whose hashes a Python worker holds.
 HELD_WORDS = 1_000_000
 U = np.uint64
@@ -178,20 +181,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def crowded(nodes: DataFrame) -> DataFrame:
-    """value, node, n, even, odd, central, root: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
+    """value, node, n, even, odd, central, root, size: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
     each = nodes.select("node", F.explode("bands").alias("value"))
     crowd = each.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
     per_node = each.join(crowd, "value").groupBy("node").agg(F.sum("c").alias("central"), F.collect_list("value").alias("values"))
-    return per_node.join(nodes.select("node", "n", "even", "odd"), "node").select(F.explode("values").alias("value"), "node", "n", "even", "odd", "central", F.col("node").alias("root"))
+    return per_node.join(nodes.select("node", "n", "even", "odd"), "node").select(F.explode("values").alias("value"), "node", "n", "even", "odd", "central", F.col("node").alias("root"), F.lit(SMALL + 1).cast("long").alias("size"))
 
 
 def elect(buckets: DataFrame, leaders: int) -> DataFrame:
-    """value, leader, m, le, lo, lc, leader_root: the most central members of each bucket."""
+    """value, leader, m, le, lo, lc, leader_root: the most central members of each bucket, and all of a small one's."""
+    top = F.max(F.struct("central", "node", "n", "even", "odd", "root")).alias("l")
+    large = buckets.filter(F.col("size") > SMALL)
     if leaders == 1:
-        lead = buckets.groupBy("value").agg(F.max(F.struct("central", "node", "n", "even", "odd", "root")).alias("l")).select("value", "l.*")
+        lead = large.groupBy("value").agg(top).select("value", "l.*")
     else:
-        lead = buckets.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("central"), F.desc("node")))).filter(F.col("place") <= leaders)
-    return lead.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("even").alias("le"), F.col("odd").alias("lo"), F.col("central").alias("lc"), F.col("root").alias("leader_root"))
+        lead = large.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("central"), F.desc("node")))).filter(F.col("place") <= leaders)
+    cols = ["value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("even").alias("le"), F.col("odd").alias("lo"), F.col("central").alias("lc"), F.col("root").alias("leader_root")]
+    return lead.select(cols).union(buckets.filter(F.col("size") <= SMALL).select(cols))
 
 
 def compare(buckets: DataFrame, lead: DataFrame, els: DataFrame) -> DataFrame:
@@ -212,9 +218,9 @@ def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     buckets = stage(crowded(nodes), "buckets")
     roots = buckets.select("node", "root").distinct()
     els = stage(_element_sets(docs, nodes.select("node", "rep").join(roots.select("node"), "node", "left_semi")), "elements")
-    leaders, held = 1, [buckets]
+    turn, held = 0, [buckets]
     while not buckets.isEmpty():
-        lead = elect(buckets, leaders)
+        lead = elect(buckets if turn else buckets.filter("pmod(value, 3) = 0"), min(64, 1 << max(0, turn - 2)))
         # The links of a round join classes of the rounds before: only those that are joined take part.
         moved = components(compare(buckets, lead, els)).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new"))
         move = lambda d, c, m=moved: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
@@ -222,11 +228,11 @@ def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
         # Who is in a leader's class, and the leaders, are done in the bucket; the others elect again.
         led = move(lead.select("value", F.col("leader_root").alias("root")), "root").distinct()
         left = stage(move(buckets, "root").join(led, ["value", "root"], "left_anti"), "left")
-        several = left.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("value")
-        buckets = stage(left.join(several, "value", "left_semi"), "buckets")
+        several = left.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("value", "size" if turn else F.lit(SMALL + 1).cast("long").alias("size"))
+        buckets = stage(left.drop("size").join(several, "value"), "buckets")
         discard(left, *held[1:])
         held[1:] = [buckets]
-        leaders = min(64, leaders * 16)
+        turn += 1
     out = stage(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     discard(*held, els, nodes)
     return out
