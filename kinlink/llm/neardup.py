@@ -11,7 +11,7 @@ bound at which all registers are filled are made, so a long text costs little mo
 Signatures are banded (BANDS x ROWS: a pair of similarity 0.8 is missed with probability 7e-5).
 Equal texts are one node. In each bucket every member is compared with a leader, the member whose buckets
 are the largest together (in a group of copies, that most like all the others); those that join no leader's class elect
-further leaders (2, 4, ... 64 at a time; in a bucket of at most SMALL all at once) among themselves until none is left, so a group
+further leaders (one, then 4, 16 and 64 at a time; in a bucket of at most SMALL all at once) among themselves until none is left, so a group
 of copies does not yield all its pairs and no bucket is capped. The first round takes a third of the buckets, which
 joins most of a group of copies before its members meet again in the others; the later rounds take all. Pairs count if the exact multiset overlap is at least 0.8; classes are the connected components.
 
@@ -39,6 +39,10 @@ REGISTERS = BANDS * ROWS
 #: Of REGISTERS' lowest bits, half in each of two longs; a pair of similarity 0.8 agrees in 108 on average, with a deviation of 3.3.
 LIKELY = 93
 U = np.uint64
+#: Bits of a multiset's odd sketch, whose exclusive or never has more bits than two multisets have differences.
+ODD = 512
+#: Longs of a node that follow it into its buckets: two of the registers' lowest bits, the others of the odd sketch.
+BITS = [f"s{i}" for i in range(2 + ODD // 64)]
 #: Buckets with so few members left are finished in one round: each is compared with the others.
 SMALL = 8
 #: Words whose hashes a Python worker holds.
@@ -122,6 +126,11 @@ def elements(shingled: np.ndarray) -> np.ndarray:
     return mix(h + nth.astype(np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def odd_sketch(els: np.ndarray) -> np.ndarray:
+    """ODD bits as longs: of each bit, whether an odd number of elements falls on it."""
+    return np.packbits((np.bincount((els.view(np.uint64) % U(ODD)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     for a, z in zip(offsets[:-1], offsets[1:], strict=True):
@@ -158,13 +167,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
     held = _Hashes()
     for b in batches:
-        sizes, sigs = [], []
+        sizes, sigs, odd = [], [], []
         for s in _shingled(b.column("text"), held):
             sizes.append(len(s))
             sigs.append(signature(s) if len(s) else np.zeros(REGISTERS, np.uint64))
+            odd.append(odd_sketch(elements(s)) if len(s) else np.zeros(ODD // 64, np.int64))
         low = np.array(sigs, np.uint64).reshape(-1, REGISTERS) >> U(63)
         sig = _list_of([bands(s) if n else np.zeros(0, np.int64) for n, s in zip(sizes, sigs, strict=True)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(sizes, pa.int64()), sig, pa.array(_half(low[:, ::2])), pa.array(_half(low[:, 1::2]))], ["doc_id", "node", "n", "bands", "even", "odd"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(sizes, pa.int64()), sig, *map(pa.array, (_half(low[:, ::2]), _half(low[:, 1::2]), *np.array(odd, np.int64).reshape(-1, ODD // 64).T.copy()))], ["doc_id", "node", "n", "bands", *BITS])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,22 +191,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def crowded(nodes: DataFrame) -> DataFrame:
-    """value, node, n, even, odd, central, root, size: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
+    """value, node, n, BITS, central, root, size: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
     each = nodes.select("node", F.explode("bands").alias("value"))
     crowd = each.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
     per_node = each.join(crowd, "value").groupBy("node").agg(F.sum("c").alias("central"), F.collect_list("value").alias("values"))
-    return per_node.join(nodes.select("node", "n", "even", "odd"), "node").select(F.explode("values").alias("value"), "node", "n", "even", "odd", "central", F.col("node").alias("root"), F.lit(SMALL + 1).cast("long").alias("size"))
+    return per_node.join(nodes.select("node", "n", *BITS), "node").select(F.explode("values").alias("value"), "node", "n", *BITS, "central", F.col("node").alias("root"), F.lit(SMALL + 1).cast("long").alias("size"))
 
 
 def elect(buckets: DataFrame, leaders: int) -> DataFrame:
-    """value, leader, m, le, lo, lc, leader_root: the most central members of each bucket, and all of a small one's."""
-    top = F.max(F.struct("central", "node", "n", "even", "odd", "root")).alias("l")
+    """value, leader, m, the leader's BITS, lc, leader_root: the most central members of each bucket, and all of a small one's."""
+    top = F.max(F.struct("central", "node", "n", *BITS, "root")).alias("l")
     large = buckets.filter(F.col("size") > SMALL)
     if leaders == 1:
         lead = large.groupBy("value").agg(top).select("value", "l.*")
     else:
         lead = large.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("central"), F.desc("node")))).filter(F.col("place") <= leaders)
-    cols = ["value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("even").alias("le"), F.col("odd").alias("lo"), F.col("central").alias("lc"), F.col("root").alias("leader_root")]
+    cols = ["value", F.col("node").alias("leader"), F.col("n").alias("m"), *[F.col(c).alias(f"l{c}") for c in BITS], F.col("central").alias("lc"), F.col("root").alias("leader_root")]
     return lead.select(cols).union(buckets.filter(F.col("size") <= SMALL).select(cols))
 
 
@@ -204,9 +214,13 @@ def compare(buckets: DataFrame, lead: DataFrame, els: DataFrame) -> DataFrame:
     """a, b: the classes of every member and leader of a bucket that are similar."""
     after = (F.col("central") < F.col("lc")) | ((F.col("central") == F.col("lc")) & (F.col("node") < F.col("leader")))
     close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    # Pairs whose registers agree far too seldom need no texts.
-    apart = F.bit_count(F.col("even").bitwiseXOR(F.col("le"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("lo")))
-    pairs = buckets.join(lead, "value").filter(after & close & (apart <= REGISTERS - LIKELY) & (F.col("root") != F.col("leader_root"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb")).distinct()
+    apart = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in BITS]
+    # Pairs whose registers agree far too seldom need no texts, nor those that differ in more elements than similar
+    # texts can: that many bits at most are set; in long texts, which fill the sketch, no more than expected and five deviations.
+    most = (F.col("n") + F.col("m")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    bits = F.least(most, (1 - F.exp(most * (-2 / ODD))) * (ODD / 2) + 2.5 * ODD**0.5)
+    may = (apart[0] + apart[1] <= REGISTERS - LIKELY) & (sum(apart[3:], apart[2]) <= bits)
+    pairs = buckets.join(lead, "value").filter(after & close & may & (F.col("root") != F.col("leader_root"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb")).distinct()
     both = pairs.join(els.select(F.col("node").alias("a"), F.col("els").alias("x")), "a").join(els.select(F.col("node").alias("b"), F.col("els").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
@@ -214,13 +228,13 @@ def compare(buckets: DataFrame, lead: DataFrame, els: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """node, rep, root: the smallest doc_id and the class of every node; one of no link is its own root."""
-    nodes = stage(sigs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "even", "odd")]), "nodes")
+    nodes = stage(sigs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", *BITS)]), "nodes")
     buckets = stage(crowded(nodes), "buckets")
     roots = buckets.select("node", "root").distinct()
     els = stage(_element_sets(docs, nodes.select("node", "rep").join(roots.select("node"), "node", "left_semi")), "elements")
     turn, held = 0, [buckets]
     while not buckets.isEmpty():
-        lead = elect(buckets if turn else buckets.filter("pmod(value, 3) = 0"), min(64, 1 << max(0, turn - 2)))
+        lead = elect(buckets if turn else buckets.filter("pmod(value, 3) = 0"), min(64, 4 ** max(0, turn - 1)))
         # The links of a round join classes of the rounds before: only those that are joined take part.
         moved = components(compare(buckets, lead, els)).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new"))
         move = lambda d, c, m=moved: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
@@ -264,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id, first: whether the row is the one that stands for its class."""
-    sigs = stage(_keyed(docs).mapInArrow(_sign, "doc_id long, node binary, n long, bands array<bigint>, even long, odd long"), "signatures")
+    sigs = stage(_keyed(docs).mapInArrow(_sign, "doc_id long, node binary, n long, bands array<bigint>, " + ", ".join(f"{c} long" for c in BITS)), "signatures")
     roots = links(docs, sigs)
     # Null ids come last.
     ids = roots.groupBy("root").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "node")).alias("least"))
