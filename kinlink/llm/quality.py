@@ -1,9 +1,11 @@
 """Operator 8: quality rules with thresholds adapted per language and source.
 
 Features are computed once per document, quantiles of each feature are taken per
-(lang, source) by mergeable Greenwald-Khanna sketches (percentile_approx: partial sketches
-merge across tasks, so a source with a third of all rows is no hot task), and documents
-outside the fences of their group are rejected after a join with the fences.
+(lang, source), per language and over all by mergeable Greenwald-Khanna sketches (percentile_approx:
+partial sketches merge across tasks, so a source with a third of all rows is no hot task), and documents
+outside the fences of their group are rejected after a join with the fences. A fence is the group's median and
+REACH times the distance from the lower quartile to it, which junk in under half of a group can't move far.
+Quantiles of a group are drawn to those of its language, and these to those over all, as if by PRIOR further rows.
 
 Defined results: null text has no words and fails the base rules; null lang or source is a
 group of its own; repeated rows are judged alike; an empty table gives an empty result;
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import let, stage, words
 
-#: Feature -> (fences at q75 + REACH * (q75 - q25), at least this value).
-FLOORS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "long_word": 14.0}
-REACH = 6.0
+#: Feature -> (least distance from quartile to median, highest fence). A fence is at q50 + REACH * (q50 - q25).
+LIMITS = {"symbol_ratio": (0.0075, 0.20), "dup_line_ratio": (0.04, 0.60), "long_word": (0.2, 20.0)}
+REACH = 8.0
+#: Rows of the wider group that count beside a group's own.
+PRIOR = 20.0
 ACCURACY = 10_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -75,8 +79,19 @@ def _features(m: DataFrame) -> DataFrame:
 
 def fences(features: DataFrame) -> DataFrame:
     """One row per (lang, source): the upper fence of each feature."""
-    agg = features.filter(~F.col("base_failed")).groupBy("lang", "source").agg(*[F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(f"_q_{c}") for c in FLOORS])
-    return agg.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[F.greatest(F.col(f"_q_{c}")[1] + REACH * (F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0]), F.lit(floor)).alias(f"_f_{c}") for c, floor in FLOORS.items()])
+    sketch = [F.percentile_approx(c, [0.25, 0.5], ACCURACY).alias(c) for c in LIMITS]
+    agg = stage(features.filter(~F.col("base_failed")).rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *sketch), "quantiles")
+    own = agg.filter("level = 0").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("n").alias("_n"), *[F.col(c).alias(f"_g_{c}") for c in LIMITS])
+    lang = agg.filter("level = 1").select("lang", "n", *[F.col(c).alias(f"_l_{c}") for c in LIMITS])
+    pool = agg.filter("level = 3").select(*[F.col(c).alias(f"_p_{c}") for c in LIMITS])
+    drawn = lambda q, n, wider: (q * n + wider * PRIOR) / (n + PRIOR)
+
+    def fence(c: str) -> Column:
+        low, mid = (drawn(F.col(f"_g_{c}")[i], F.col("_n"), drawn(F.col(f"_l_{c}")[i], F.col("n"), F.col(f"_p_{c}")[i])) for i in (0, 1))
+        spread, highest = LIMITS[c]
+        return F.least(mid + REACH * F.greatest(mid - low, F.lit(spread)), F.lit(highest)).alias(f"_f_{c}")
+
+    return own.join(lang, F.col("_l").eqNullSafe(F.col("lang"))).crossJoin(F.broadcast(pool)).select("_l", "_s", *map(fence, LIMITS))
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -85,9 +100,9 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     limits = stage(fences(f), "fences")
     out = f.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     ok = F.lit(True)
-    for c in FLOORS:
-        ok = ok & (F.col(c) <= F.coalesce(F.col(f"_f_{c}"), F.lit(FLOORS[c])))
-    return out.withColumn("kept", ~F.col("base_failed") & ok).drop("_l", "_s", "_lines", *[f"_f_{c}" for c in FLOORS], *FLOORS)
+    for c in LIMITS:
+        ok = ok & F.coalesce(F.col(c) <= F.col(f"_f_{c}"), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ok).drop("_l", "_s", "_lines", *[f"_f_{c}" for c in LIMITS], *LIMITS)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

@@ -178,6 +178,22 @@ def test_quality(spark, sf, docs):
     assert sum(r.kept for r in got if r.doc_id in bad) <= 0.3 * len(bad)
 
 
+def test_quality_fences_follow_the_group(spark):
+    from kinlink.llm.quality import filter_documents
+
+    rng = np.random.default_rng(4)
+    text = lambda n, symbols=0, length=5: " ".join("".join(rng.choice(list("abcdefgh"), length)) for _ in range(n - symbols)) + " %%%%%" * symbols
+    rows = [(i, text(40), "en", "prose") for i in range(60)] + [(100 + i, text(40, 3 + i % 3), "en", "code") for i in range(60)]
+    # The same texts in both; a third of a source is junk; a group of one row is judged as most others are.
+    odd = {"symbols": text(40, 4), "long": text(40, 0, 9)}
+    rows += [(200, odd["symbols"], "en", "prose"), (201, odd["symbols"], "en", "code"), (202, odd["long"], "en", "prose")]
+    rows += [(300 + i, text(40, 0 if i % 3 else 12), "en", "mixed") for i in range(60)] + [(400, odd["symbols"], None, "single")]
+    kept = {r.doc_id for r in filter_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert 200 not in kept and 202 not in kept and 201 in kept and 400 not in kept
+    assert set(range(60)) <= kept and set(range(100, 160)) <= kept
+    assert {i for i in kept if 300 <= i < 400} == {300 + i for i in range(60) if i % 3}
+
+
 def test_mix(spark, sf, docs):
     from kinlink.llm.mixing import mixed_documents
     from kinlink.llm.queries import op9_mix
