@@ -13,7 +13,9 @@ Equal texts are one node. In each bucket every member is compared with a leader,
 are the largest together (in a group of copies, that most like all the others); those that join no leader's class elect
 further leaders (one, then 4, 16 and 64 at a time; in a bucket of at most SMALL all at once) among themselves until none is left, so a group
 of copies does not yield all its pairs and no bucket is capped. The first round takes a third of the buckets, which
-joins most of a group of copies before its members meet again in the others; the later rounds take all. Pairs count if the exact multiset overlap is at least 0.8; classes are the connected components.
+joins most of a group of copies before its members meet again in the others; the later rounds take all. Last, in every
+bucket that still holds several classes, those outside its largest class are compared with all members of other classes,
+also with those that had joined a leader, so no pair of a bucket is left out. Pairs count if the exact multiset overlap is at least 0.8; classes are the connected components.
 
 Defined results: texts without words are in no class but their own; rows of equal doc_id and text are one node;
 the class id is the smallest doc_id of a class (null doc_ids: null, only where all are null);
@@ -206,8 +208,21 @@ def elect(buckets: DataFrame, leaders: int) -> DataFrame:
         lead = large.groupBy("value").agg(top).select("value", "l.*")
     else:
         lead = large.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("central"), F.desc("node")))).filter(F.col("place") <= leaders)
-    cols = ["value", F.col("node").alias("leader"), F.col("n").alias("m"), *[F.col(c).alias(f"l{c}") for c in BITS], F.col("central").alias("lc"), F.col("root").alias("leader_root")]
-    return lead.select(cols).union(buckets.filter(F.col("size") <= SMALL).select(cols))
+    return _as_leaders(lead).union(_as_leaders(buckets.filter(F.col("size") <= SMALL)))
+
+
+def _as_leaders(buckets: DataFrame) -> DataFrame:
+    return buckets.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), *[F.col(c).alias(f"l{c}") for c in BITS], F.col("central").alias("lc"), F.col("root").alias("leader_root"))
+
+
+def mixed(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """value, node, root, central, n, BITS: the members of all buckets of several classes; central is 0 in a bucket's largest class and 1 in the others."""
+    placed = stage(buckets.select("value", "node").join(roots, "node"), "placed")
+    largest = placed.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "root"))["root"].alias("largest"), F.count("*").alias("classes"))
+    members = placed.join(largest.filter("classes > 1"), "value").select("value", "node", "root", (F.col("root") != F.col("largest")).cast("long").alias("central"))
+    out = stage(members.join(nodes.select("node", "n", *BITS), "node"), "mixed")
+    discard(placed)
+    return out
 
 
 def compare(buckets: DataFrame, lead: DataFrame, els: DataFrame) -> DataFrame:
@@ -233,20 +248,25 @@ def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     roots = buckets.select("node", "root").distinct()
     els = stage(_element_sets(docs, nodes.select("node", "rep").join(roots.select("node"), "node", "left_semi")), "elements")
     turn, held = 0, [buckets]
+    move = lambda d, c, m: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
     while not buckets.isEmpty():
         lead = elect(buckets if turn else buckets.filter("pmod(value, 3) = 0"), min(64, 4 ** max(0, turn - 1)))
         # The links of a round join classes of the rounds before: only those that are joined take part.
         moved = components(compare(buckets, lead, els)).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new"))
-        move = lambda d, c, m=moved: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        roots = move(roots, "root")
+        roots = move(roots, "root", moved)
         # Who is in a leader's class, and the leaders, are done in the bucket; the others elect again.
-        led = move(lead.select("value", F.col("leader_root").alias("root")), "root").distinct()
-        left = stage(move(buckets, "root").join(led, ["value", "root"], "left_anti"), "left")
+        led = move(lead.select("value", F.col("leader_root").alias("root")), "root", moved).distinct()
+        left = stage(move(buckets, "root", moved).join(led, ["value", "root"], "left_anti"), "left")
         several = left.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("value", "size" if turn else F.lit(SMALL + 1).cast("long").alias("size"))
         buckets = stage(left.drop("size").join(several, "value"), "buckets")
         discard(left, *held[1:])
         held[1:] = [buckets]
         turn += 1
+    # Members that joined a leader left the buckets, so others have not met them there.
+    roots = stage(roots, "joined")
+    rest = mixed(held[0], roots, nodes)
+    held += [roots, rest]
+    roots = move(roots, "root", components(compare(rest, _as_leaders(rest.filter("central = 1")), els)).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new")))
     out = stage(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     discard(*held, els, nodes)
     return out

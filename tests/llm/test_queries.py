@@ -269,6 +269,24 @@ def test_near_dup(spark, sf, docs):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want}
 
 
+def test_near_dup_chains(spark):
+    from kinlink.llm.neardup import classes
+
+    def edited(words, *at):
+        return [f"{w}x{i}" if i in at else w for i, w in enumerate(words)]
+
+    rows = []
+    for c in range(60):
+        # The base and its copies are similar to a, a to b (0.802), but none of the others to b (0.78 at most).
+        base = [f"c{c}w{i}" for i in range(368)]
+        a = edited(base, 20)
+        texts = [base, *[edited(base, 60 + 10 * k) for k in range(4)], a, edited(a, *range(150, 310, 20))]
+        rows += [(c * 10 + k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [d for d, _ in rows if got[d] != d // 10 * 10]
+    assert not lost, len(lost)
+
+
 def test_signatures_estimate_weighted_jaccard():
     from kinlink.llm.neardup import signature
 
