@@ -7,7 +7,7 @@ identifiers (at least SUPPORT different ones), and a token's score is the noisy-
 reach CONFIDENCE are discovered and seed the next round. Base spans always stay; discovered ones never overlap them.
 
 Everything is DataFrame functions; counts are combined before each shuffle. The occurrences of a
-pattern are counted in all documents that hold a digit, the only ones with identifier-like tokens.
+pattern are counted in all documents; the contexts of seeds, 8 bytes each, go to all executors for that.
 
 Defined results: null text is empty: no spans, hash of ""; rows equal in doc_id and text are counted
 as one in the graph and get the same spans each; an empty table gives an empty result; extra columns are not read.
@@ -104,18 +104,21 @@ def tokens(docs: DataFrame) -> DataFrame:
     return d.filter("t.end - t.start >= 5").select("key", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.xxhash64(value).alias("value"), F.get(over, F.lit(0))["rank"].alias("kind"), F.when(before != "", _context(before)).alias("ctx"), F.length(F.regexp_replace(value, "[^0-9]", "")).alias("digits"))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """ctx, n: how often two words stand before a third, in documents with a digit."""
+def pair_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """ctx, n: how often the wanted pairs of words stand before a third, in all documents; rows of one key count once. docs: key, text."""
     w = words(F.lower(F.col("text")))
     pairs = let(w, lambda a: F.transform(F.slice(a, F.lit(1), F.greatest(F.size(a) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.concat(x, F.lit(" "), F.get(a, i + 1)))))
-    return docs.filter(F.col("text").rlike("[0-9]")).select(F.explode(pairs).alias("ctx")).groupBy("ctx").agg(F.count("*").alias("n"))
+    hits = docs.select("key", F.explode(pairs).alias("ctx")).join(F.broadcast(wanted), "ctx", "left_semi").groupBy("key", "ctx").agg(F.count("*").alias("n"))
+    copies = docs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    once = hits.join(copies, "key", "left").select("ctx", F.expr("n div coalesce(c, 1)").alias("n"))
+    return once.groupBy("ctx").agg(F.sum("n").alias("n"))
 
 
-def discover(docs: DataFrame) -> DataFrame:
-    """key, start, end, rank of the tokens that the bootstrap adds. docs: key, text, base."""
+def discover(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """key, start, end, rank of the tokens that the bootstrap adds. docs: key, text, base of those with a digit; every: key, text of all."""
     toks = stage(tokens(docs.dropDuplicates(["key"])), "tokens").filter("ctx is not null")
     seen = toks.groupBy("ctx").agg(F.countDistinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("seeds")).filter(F.col("seeds") >= SUPPORT).select("ctx")
-    counts = stage(pair_counts(docs.dropDuplicates(["key"])).join(seen, "ctx", "left_semi"), "contexts")
+    counts = stage(pair_counts(every, stage(seen, "seen")), "contexts")
     # Only tokens in contexts of seeds take part; later rounds reuse the contexts, so that scores settle.
     edges = stage(toks.join(counts, "ctx"), "edges")
     known = edges.select("value", "kind").filter("kind is not null").distinct()
@@ -142,7 +145,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", row_key("doc_id", "text").alias("key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     held = stage(d.select("doc_id", "key", "base", F.when(F.col("text").rlike("[0-9]"), F.col("text")).alias("text")), "base")
-    more = stage(discover(held.filter("text is not null")), "found").groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("more")).withColumnRenamed("key", "_key")
+    more = stage(discover(held.filter("text is not null"), d.select("key", "text")), "found").groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("more")).withColumnRenamed("key", "_key")
     slim = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     out = held.select("doc_id", "key", slim.alias("base")).join(more, F.col("key") == F.col("_key"), "left")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")))).alias("all"))

@@ -119,6 +119,18 @@ def test_pii_bootstrap(spark):
     assert got[10].spans == "" and got[0].spans == "email:25:39"
 
 
+def test_pii_counts_patterns_in_all_documents(spark):
+    from kinlink.llm.pii import digest, personal_data
+
+    seeds = [(i, f"please use mail address: user{i}@host.com then on") for i in range(9)]
+    other = [(50, "we use mail address: user7731.host now")]
+    plain = [(100 + i, "no mail address: given here at all") for i in range(90)]
+    spans = lambda rows: {r.doc_id: r.spans for r in digest(personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}[50]
+    assert spans(seeds + other + plain) == ""
+    # One text of one id, repeated, counts once.
+    assert spans(seeds + other + [plain[0]] * 90) == "email:21:34"
+
+
 def test_tokens(spark, sf, docs):
     from tokenizers import Tokenizer
 
