@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset, a new local one (tests)."""
+    """The folder in spark.checkpoint.dir; where it is unset, a new local one, on a local master alone (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="kinlink-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Paths of staged tables of the innermost scratch().
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Staged tables of the block are deleted at its end: what was made from them must be written by then."""
+    mark = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        held = _SCRATCH.get()
+        _SCRATCH.reset(mark)
+        discard(*held)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -35,6 +56,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if (held := _SCRATCH.get()) is not None:
+        held.append(out)
     return out
 
 
@@ -57,5 +80,17 @@ def let(value: Column, body) -> Column:
 
 
 def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row's content, equal for repeated rows, also with nulls."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])
+    """128 bits of a row's content, equal for repeated rows, also with nulls."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")) for c in cols])))
+
+
+def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The named columns, or all, as one struct, so that no name of a caller's column meets one of an operator's; ``row.*`` unpacks it."""
+    return F.struct(*[df[f"`{c}`"] for c in (df.columns if columns is None else columns)]).alias("row")
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as it takes to differ from all taken names, also in lower case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

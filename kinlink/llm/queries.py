@@ -57,13 +57,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures and verdict of each document."""
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"]).select("row.doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
-    m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
+    m = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return m.select("row.doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), F.array_join(F.transform("shards", lambda x: x.cast("string")), ",").alias("shards"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
