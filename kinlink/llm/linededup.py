@@ -6,11 +6,13 @@ than once in the whole table keeps its first occurrence, by (doc_id, hash of the
 others are removed: a line goes if any later occurrence covers it, and overlapping occurrences are merged.
 
 The first occurrence is a minimum, combined before the shuffle; occurrences meet it in a join
-whose other side has one row per window, so a window that fills a third of all rows can be split.
+whose other side has one row per window, so a window that fills a third of all rows can be split. Lines are
+taken out by taking the removed numbers from all numbers by hash, so a text of very many lines takes time in proportion.
 
 Defined results: null and blank texts, and those of under three lines, stay as they are (null: null);
 rows equal in doc_id and text are one document and get the same result, whatever their number;
-null doc_id comes first; an empty table gives an empty result.
+null doc_id comes first; a text of any length is read whole; an empty table gives an empty result;
+the caller's columns come through untouched, and the two counts get underscores behind their names where the caller has such columns.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key, stage
+from .common import free, let, packed, row_key, stage
 
 WINDOW = 3
 BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -49,8 +51,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text freed of repeated passages, n_lines (before) and n_removed."""
-    gone = stage(removed_lines(docs), "gone").withColumnRenamed("key", "_key")
+    gone = stage(removed_lines(docs), "gone").withColumnRenamed("key", "gone_key")
     # A merge join at every size: the table of removed lines grows with the documents.
-    d = docs.withColumn("_key", row_key("doc_id", "text")).join(gone.hint("merge"), "_key", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return d.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    d = docs.select(packed(docs), docs["text"].alias("text"), row_key("doc_id", "text").alias("key")).join(gone.hint("merge"), F.col("key") == F.col("gone_key"), "left")
+    lines = F.split("text", "\n")
+    # Numbers of the lines that stay, joined by their places: array_except hashes, where a search in a list would not scale.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = let(lines, lambda a: F.array_join(F.transform(stay, lambda i: F.get(a, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    n_lines, n_removed = free("n_lines", docs.columns), free("n_removed", docs.columns)
+    return d.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed))
