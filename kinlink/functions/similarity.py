@@ -22,8 +22,10 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def jaccard_similarity(a: Column, b: Column) -> Column:
-    n = F.size(F.array_union(a, b))
-    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(n, F.lit(1)))
+    """Of arrays without repeats."""
+    common = F.size(F.array_intersect(a, b))
+    n = F.size(a) + F.size(b) - common
+    return F.when(n == 0, 0.0).otherwise(common / F.greatest(n, F.lit(1)))
 
 
 def dice_similarity(a: Column, b: Column) -> Column:
@@ -31,6 +33,11 @@ def dice_similarity(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(2 * F.size(F.array_intersect(a, b)) / F.greatest(n, F.lit(1)))
 
 
+def gram_similarity(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Column:
+    """char_ngram_jaccard of texts whose n-grams are made already."""
+    return _guarded(a, b, jaccard_similarity(grams_a, grams_b))
+
+
 def char_ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
     return _guarded(a, b, jaccard_similarity(char_ngrams(a, n), char_ngrams(b, n)))
 

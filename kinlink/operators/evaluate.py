@@ -1,4 +1,4 @@
-"""Profiles, evaluation, threshold search, sampling and validation of outputs."""
+"""Profiles, evaluation and threshold search."""
 
 from __future__ import annotations
 
@@ -42,6 +42,11 @@ def entity_scores(predicted: DataFrame, truth: DataFrame, ids: DataFrame) -> Dat
     both = predicted.select(*PAIR).distinct().withColumn("p", F.lit(1)).join(truth.select(*PAIR).distinct().withColumn("t", F.lit(1)), PAIR, "full")
     per = both.groupBy("source1_entity_id").agg(F.count("p").alias("n_pred"), F.count("t").alias("n_true"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"))
     d = ids.join(per, "source1_entity_id", "left").fillna(0)
+    return _rated(d)
+
+
+def _rated(d: DataFrame) -> DataFrame:
+    """d (n_pred, n_true, tp) with precision, recall and f05."""
     empty = (F.col("n_true") == 0) & (F.col("n_pred") == 0)
     p = F.when(empty, 1.0).otherwise(F.col("tp") / F.greatest("n_pred", F.lit(1)))
     r = F.when(empty, 1.0).otherwise(F.col("tp") / F.greatest("n_true", F.lit(1)))
@@ -50,9 +55,7 @@ def entity_scores(predicted: DataFrame, truth: DataFrame, ids: DataFrame) -> Dat
 
 def evaluate(predicted: DataFrame, truth: DataFrame, ids: DataFrame) -> DataFrame:
     """One row of macro means; singleton accuracy is 1 if there is no singleton."""
-    single = F.col("n_true") == 0
-    e = entity_scores(predicted, truth, ids)
-    return e.agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f05").alias("macro_f05"), F.coalesce(F.avg(F.when(single, F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0))), F.lit(1.0)).alias("singleton_accuracy"), F.coalesce(F.avg(F.when(~single, F.col("f05"))), F.lit(0.0)).alias("non_singleton_f05"))
+    return _means(entity_scores(predicted, truth, ids), []).drop("entities", "tp", "fp", "fn")
 
 
 def pair_metrics(predicted: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -64,13 +67,44 @@ def pair_metrics(predicted: DataFrame, truth: DataFrame, by: list[str] | None =
     return a.withColumn("f05", f_beta(F.col("precision"), F.col("recall")))
 
 
-def threshold_grid(scored: DataFrame, truth: DataFrame, ids: DataFrame, low: float = 0.40, high: float = 0.95, step: float = 0.02) -> DataFrame:
+def candidate_recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: true pairs, those among pairs, and their share (1 if there is no true pair)."""
+    hit = truth.select(*PAIR).distinct().join(pairs.select(*PAIR).distinct().withColumn("c", F.lit(1)), PAIR, "left")
+    a = hit.agg(F.count("*").alias("true_pairs"), F.count("c").alias("retrieved"))
+    return a.withColumn("recall", F.when(F.col("true_pairs") == 0, 1.0).otherwise(F.col("retrieved") / F.greatest("true_pairs", F.lit(1))))
+
+
+def _means(e: DataFrame, by: list[str]) -> DataFrame:
+    """Macro means of entity_scores by columns; singleton accuracy is 1 if there is no singleton."""
+    single = F.col("n_true") == 0
+    return e.groupBy(*by).agg(
+        F.count("*").alias("entities"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f05").alias("macro_f05"),
+        F.coalesce(F.avg(F.when(single, F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0))), F.lit(1.0)).alias("singleton_accuracy"), F.coalesce(F.avg(F.when(~single, F.col("f05"))), F.lit(0.0)).alias("non_singleton_f05"),
+        F.sum("tp").alias("tp"), F.sum(F.col("n_pred") - F.col("tp")).alias("fp"), F.sum(F.col("n_true") - F.col("tp")).alias("fn"),
+    )
+
+
+def scores_by_country(predicted: DataFrame, truth: DataFrame, ids: DataFrame, countries: DataFrame) -> DataFrame:
+    """Macro means and pair counts of the ids of each country. countries: source1_entity_id, country."""
+    return _means(entity_scores(predicted, truth, ids).join(countries.select(PAIR[0], "country"), PAIR[0], "left"), ["country"])
+
+
+def scores_by_source(predicted: DataFrame, truth: DataFrame, ids: DataFrame, sources: tuple[str, ...] = ("S2", "S3")) -> DataFrame:
+    """Macro means and pair counts over all ids, with the pairs of one source of targets at a time: an id without true pairs there is a singleton there."""
+    of = lambda d: d.select(PAIR[0], PAIR[1], F.substr(PAIR[1], F.lit(1), F.lit(2)).alias("source")).distinct()
+    both = of(predicted).withColumn("p", F.lit(1)).join(of(truth).withColumn("t", F.lit(1)), [*PAIR, "source"], "full")
+    per = both.groupBy(PAIR[0], "source").agg(F.count("p").alias("n_pred"), F.count("t").alias("n_true"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"))
+    every = ids.select(PAIR[0], F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
+    return _means(_rated(every.join(per, [PAIR[0], "source"], "left").fillna(0)), ["source"])
+
+
+def threshold_grid(scored: DataFrame, truth: DataFrame, ids: DataFrame, low: float = 0.40, high: float = 0.95, step: float = 0.02, thresholds: list[float] | None = None) -> DataFrame:
     """macro_f05 of every threshold of the grid; best marks the lowest of the best.
 
     Each pair counts in the bands up to its score: counts per id and band, summed downwards over the grid,
     so a pair is not copied for every threshold; ids meet the short grid only as counts.
     """
-    taus = [round(low + i * step, 4) for i in range(int((high - low) / step + 1e-9) + 1)]
+    taus = thresholds or [round(low + i * step, 4) for i in range(int((high - low) / step + 1e-9) + 1)]
     grid = scored.sparkSession.createDataFrame([(i, t) for i, t in enumerate(taus)], "i int, tau double")
     top = F.aggregate(F.array(*[F.lit(t) for t in taus]), F.lit(-1), lambda n, t: F.when(F.col("score") >= t, n + 1).otherwise(n))
     s = scored.groupBy(*PAIR).agg(F.max("score").alias("score")).join(truth.select(*PAIR).distinct().withColumn("t", F.lit(1)), PAIR, "left").withColumn("band", top).filter("band >= 0")
@@ -89,52 +123,24 @@ def threshold_grid(scored: DataFrame, truth: DataFrame, ids: DataFrame, low: flo
     return out.select("tau", "macro_f05", best.alias("best"))
 
 
-def _rank(c: str, seed: int):
-    return F.md5(F.concat(F.col(c), F.lit(f"#{seed}")))
-
-
-def sample_ids(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n different ids, by hash."""
-    return ids.select("source1_entity_id").distinct().orderBy(_rank("source1_entity_id", seed), "source1_entity_id").limit(n)
-
-
-def grouped_split(pairs: DataFrame, ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    """pairs with is_val: all pairs of an id are on one side; max(1, int(n * ratio)) ids validate."""
-    ids = pairs.select("source1_entity_id").distinct()
-    n = ids.count()
-    val = sample_ids(ids, max(1, int(n * ratio)) if n else 0, seed).withColumn("is_val", F.lit(True))
-    return pairs.join(val, "source1_entity_id", "left").fillna(False, ["is_val"])
-
-
-def sample_targets(targets: DataFrame, truth: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """All true targets and, by hash, share as many others."""
-    true = truth.select(F.col("candidate_entity_id").alias("entity_id")).distinct()
-    pos = targets.join(true, "entity_id", "left_semi")
-    neg = targets.join(true, "entity_id", "left_anti").orderBy(_rank("entity_id", seed), "entity_id").limit(int(pos.count() * share))
-    return pos.unionByName(neg)
+def select_threshold(scored: DataFrame, truth: DataFrame, ids: DataFrame, thresholds: list[float] | None = None) -> tuple[float, float]:
+    """The first of the best of the thresholds, by default 0.05 to 0.95 in steps of 0.05, and its macro F0.5."""
+    taus = thresholds or [round(0.05 * i, 2) for i in range(1, 20)]
+    best = threshold_grid(scored, truth, ids, thresholds=taus).filter("best").first()
+    return best["tau"], best["macro_f05"]
 
 
-def validate_lists(rows: DataFrame, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Findings of a result table (source1_entity_id, ids): kind, n and the first five examples."""
-    d = rows.select("source1_entity_id", F.when(F.col("ids") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("ids", ",")).alias("l"))
-    each = d.select("source1_entity_id", F.explode("l").alias("x"))
-    found = {
-        "duplicate_row": d.groupBy("source1_entity_id").count().filter("count > 1").select("source1_entity_id"),
-        "repeated_id": d.filter(F.size("l") != F.size(F.array_distinct("l"))).select("source1_entity_id"),
-        "self_match": each.filter("x = source1_entity_id").select("source1_entity_id"),
-        "wrong_prefix": each.filter(~F.col("x").startswith("S2-") & ~F.col("x").startswith("S3-")).select("source1_entity_id"),
-        "missing_row": required.select("source1_entity_id").join(d, "source1_entity_id", "left_anti"),
-        "extra_row": d.join(required, "source1_entity_id", "left_anti").select("source1_entity_id"),
-    }
-    if known is not None:
-        found["unknown_id"] = each.join(known.select(F.col("entity_id").alias("x")), "x", "left_anti").select("source1_entity_id")
-    one = [v.agg(F.lit(k).alias("finding"), F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("source1_entity_id")), 1, 5), ",").alias("examples")) for k, v in found.items()]
-    out = one[0]
-    for o in one[1:]:
-        out = out.unionByName(o)
-    return out
+def merge_profiles(profiles: DataFrame) -> DataFrame:
+    """One row of profile_source, over the rows of the parts' profiles."""
+    total = F.sum("rows")
+    out = [total.alias("rows")]
+    for c in profiles.columns[1:]:
+        kind = c.split("_", 1)[0]
+        made = F.round(F.sum(F.col(c) * F.col("rows")) / F.greatest(total, F.lit(1)), 2) if kind == "mean" else {"min": F.min, "max": F.max}.get(kind, F.sum)(c)
+        out.append(made.alias(c))
+    return profiles.agg(*out)
 
 
 def not_in_candidates(matches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Predicted pairs that were no candidates."""
+    """Pairs of matches that were no candidates."""
     return matches.select(*PAIR).join(pairs.select(*PAIR), PAIR, "left_anti")

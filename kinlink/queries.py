@@ -1,4 +1,4 @@
-"""Queries of the record-linkage operators over records made of all documents, and their SQL."""
+"""Queries of the record-linkage operators over records made of all documents. Their SQL is in oracle.py."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as S
 from .functions import text as T
-from .operators import blocking, evaluate, matching
+from .operators import blocking, evaluate, matching, sampling, validate
+from .operators.records import prepare
+from .oracle import ORACLE
 from .plans import pipeline
-from .sources.tables import business_records, explode_lists, last_of_each, resume
+from .sources.staging import new_path, stage
+from .sources.tables import business_records, explode_lists, last_of_each, read_checkpoint, read_records, resume, union_targets, write_tsv
 
 THRESHOLD = 0.6
+PAIR = evaluate.PAIR
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -23,95 +27,159 @@ def _ids(source: DataFrame) -> DataFrame:
     return source.select(F.col("entity_id").alias("source1_entity_id"))
 
 
+def _prepared(s: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What blocking and matching need of all records, made and written once."""
+    both = stage(prepare(s.unionByName(t)).withColumn("source", F.substr("entity_id", F.lit(1), F.lit(2))), "prepared")
+    return both.filter("source = 'S1'"), both.filter("source <> 'S1'")
+
+
 def _truth(source: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs of equal held-out words."""
+    """Pairs of equal held-out words: every target with the source record of the least place that has its words. One pair for a target, however many share the words."""
     key = (F.col("truth_key") != "") & (F.col("no") >= 17)
-    return source.filter(key).select(F.col("entity_id").alias("source1_entity_id"), "truth_key").join(targets.filter(key).select(F.col("entity_id").alias("candidate_entity_id"), "truth_key"), "truth_key").drop("truth_key")
+    own = source.filter(key).groupBy("truth_key").agg(F.min_by("entity_id", "pos").alias("source1_entity_id"))
+    return targets.filter(key).select(F.col("entity_id").alias("candidate_entity_id"), "truth_key").join(own, "truth_key").select(*PAIR)
+
+
+def _found(spark: SparkSession, sf_dir: str, least: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides, and a simple prediction to evaluate: candidates that share a whole core name or as much else."""
+    s, t = _sides(spark, sf_dir)
+    return s, t, blocking.candidates(*_prepared(s, t)).filter(F.col("weight") >= least)
 
 
-def _exact(source: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs of equal names without suffixes: a simple prediction to evaluate."""
-    core = lambda d, n: d.select(F.col("entity_id").alias(n), T.strip_legal_suffixes(T.clean_business_name(F.col("business_name"))).alias("k"), T.normalize_country(F.col("country")).alias(f"c_{n}"))
-    p = core(source, "source1_entity_id").join(core(targets, "candidate_entity_id"), "k")
-    return p.filter(blocking.compatible(F.col("c_source1_entity_id"), F.col("c_candidate_entity_id"))).select("source1_entity_id", "candidate_entity_id")
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in d.dtypes])
 
 
 def records(spark, sf_dir):
-    """SC4, WN5: records of three sources, the last of each id."""
-    return last_of_each(business_records(spark, sf_dir)).select("entity_id", "business_name", "business_address", "country", "source")
+    """SC4, WN5, ST1: records of three sources, the last of each id; the records are there twice, as two sources."""
+    r = business_records(spark, sf_dir)
+    older = r.withColumn("business_name", F.lit("older"))
+    return union_targets(older, r).select("entity_id", "business_name", "business_address", "country", "source")
 
 
 def normalized(spark, sf_dir):
-    """TX6 to TX23: normalised fields and tokens."""
+    """TX14 to TX16, TX20, TX25: countries, tokens and numbers."""
     r = business_records(spark, sf_dir)
     joined = lambda c: F.array_join(c, "|")
     return r.select("entity_id", T.normalize_country(F.col("country")).alias("norm_country"), joined(T.extract_tokens(F.col("business_address"))).alias("address_tokens"), joined(T.extract_numeric_tokens(F.col("business_address"))).alias("numbers"), joined(T.extract_normalized_numbers(F.col("business_address"))).alias("plain_numbers"), T.source_label(F.col("entity_id")).alias("label"))
 
 
 def names(spark, sf_dir):
-    """TX7, TX9, TX11, TX18: cleaned and core names."""
+    """TX7, TX9, TX11, TX12, TX18: cleaned and core names, and addresses."""
     r, n = business_records(spark, sf_dir), F.col("business_name")
     return r.select("entity_id", T.clean_business_name(n).alias("clean"), T.strip_legal_suffixes(T.clean_business_name(n)).alias("stripped"), T.strip_all_suffixes(n).alias("bare"), T.clean_address(F.col("business_address")).alias("address"), F.array_join(T.extract_core_name_tokens(n), " ").alias("core"))
 
 
+def preprocessed(spark, sf_dir):
+    """TX22 to TX24: the nine derived fields."""
+    d = T.preprocess_dataframe(business_records(spark, sf_dir).select("entity_id", "business_name", "business_address", "country"))
+    return d.select(*[F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c) for c, kind in d.dtypes])
+
+
+def prepared(spark, sf_dir):
+    """TX21, TX26 to TX28: what blocking takes of a record, and its 3-grams."""
+    d = prepare(business_records(spark, sf_dir))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return d.select("entity_id", joined("core_tokens"), joined("address_words"), joined("address_numbers"), joined("name_words"), F.array_join(F.array_sort("name_grams"), "|").alias("name_grams"), "core")
+
+
+def token_frequencies(spark, sf_dir):
+    """BK0: in how many targets a core token is."""
+    return blocking.token_frequency(blocking.name_keys(_prepared(*_sides(spark, sf_dir))[1]))
+
+
 def blocking_keys(spark, sf_dir):
-    """BK0 to BK8: capped keys of the targets, by index."""
-    _, t = _sides(spark, sf_dir)
-    return blocking.index_targets(blocking.enrich(t)).groupBy("index").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"))
+    """BK1 to BK8, BK12, WN1: the capped buckets of the targets."""
+    return blocking.index_targets(_prepared(*_sides(spark, sf_dir))[1]).select("index", F.translate("key", "\x1f", "+").alias("key"), "entity_id")
+
+
+def name_candidates(spark, sf_dir):
+    """BK9, BK11, JN1: pairs that share a bucket of the name index."""
+    s, t = _prepared(*_sides(spark, sf_dir))
+    return blocking.generate_name_candidates(s, blocking.build_name_index(t))
+
+
+def address_candidates(spark, sf_dir):
+    """BK10, JN2: pairs that share a bucket of the address index."""
+    s, t = _prepared(*_sides(spark, sf_dir))
+    return blocking.generate_address_candidates(s, blocking.build_address_index(t))
 
 
 def candidate_pairs(spark, sf_dir):
-    """JN1, JN2, BK13, WN2: candidates of every source record."""
-    s, t = _sides(spark, sf_dir)
-    return blocking.candidates(blocking.enrich(s), blocking.enrich(t), 80)
+    """JN1, JN2, JN12, BK13, BK14, FL1, WN2: candidates of every source record."""
+    return blocking.candidates(*_prepared(*_sides(spark, sf_dir)))
+
+
+def fast_candidate_pairs(spark, sf_dir):
+    """JN3, BK15, FL2, AG14, WN3: candidates by weight within equal raw countries."""
+    return blocking.fast_candidates(*_prepared(*_sides(spark, sf_dir)), partition="raw_country")
 
 
 def candidate_lists(spark, sf_dir):
-    """SK2, SC6: sorted candidate lists and back."""
+    """SK2, SC6, SO1: sorted candidate lists and back."""
     s, t = _sides(spark, sf_dir)
-    return explode_lists(blocking.candidate_lists(blocking.candidates(blocking.enrich(s), blocking.enrich(t), 80, True), s), "candidate_entity_ids")
+    return explode_lists(blocking.candidate_lists(blocking.candidates(*_prepared(s, t)), s), "candidate_entity_ids")
 
 
 def blocking_quality(spark, sf_dir):
     """AG4: recall, counts and reduction of the candidates."""
     s, t = _sides(spark, sf_dir)
-    pairs = blocking.candidates(blocking.enrich(s), blocking.enrich(t), 80)
-    every = _ids(s).join(pairs, "source1_entity_id", "left")
-    return blocking.evaluate_blocking(every, _truth(s, t), t.count())
+    every = _ids(s).join(blocking.candidates(*_prepared(s, t)), "source1_entity_id", "left")
+    return _rounded(blocking.evaluate_blocking(every, _truth(s, t), t.count()))
+
+
+def blocking_recall(spark, sf_dir):
+    """AG12: true pairs among the candidates."""
+    s, t = _sides(spark, sf_dir)
+    return _rounded(evaluate.candidate_recall(blocking.candidates(*_prepared(s, t)), _truth(s, t)))
 
 
 def pair_features(spark, sf_dir):
-    """FT1, SM1 to SM6: the 25 features of pairs of equal core names."""
+    """FT1, SM1 to SM6: the 25 features of all candidates."""
+    s, t = _prepared(*_sides(spark, sf_dir))
+    return matching.features(blocking.candidates(s, t).select(*PAIR), s, t)
+
+
+def plain_features(spark, sf_dir):
+    """FT1 without the two features that SQL lacks: those made by built-in functions, of all candidates."""
+    d = pair_features(spark, sf_dir)
+    return _rounded(d.drop(*matching.SLOW))
+
+
+def fast_features(spark, sf_dir):
+    """FT4, SM7, SM8: the features with the subsequence similarity, of true pairs."""
     s, t = _sides(spark, sf_dir)
-    return matching.features(_exact(s, t), s, t)
+    return matching.features(_truth(s, t), prepare(s), prepare(t), fast=True).select(*PAIR, "name_token_sort_ratio", "name_levenshtein_sim")
 
 
 def simple_scores(spark, sf_dir):
-    """FT2, FT3: eight plain features and the score without a model."""
+    """FT2, FT3, MD8: eight plain features of all candidates and the score without a model."""
     s, t = _sides(spark, sf_dir)
-    return matching.heuristic_score(matching.simple_features(_exact(s, t), s, t))
+    return matching.heuristic_score(matching.simple_features(blocking.candidates(*_prepared(s, t)).select(*PAIR), s, t))
 
 
 def set_similarity(spark, sf_dir):
-    """SM4 to SM6 over names of pairs with equal held-out words."""
+    """SM4 to SM6 over the names of all candidates."""
     s, t = _sides(spark, sf_dir)
-    p = _truth(s, t).join(s.select(F.col("entity_id").alias("source1_entity_id"), F.col("business_name").alias("a")), "source1_entity_id").join(t.select(F.col("entity_id").alias("candidate_entity_id"), F.col("business_name").alias("b")), "candidate_entity_id")
+    named = lambda d, key, c: d.select(F.col("entity_id").alias(key), F.col("business_name").alias(c))
+    p = blocking.candidates(*_prepared(s, t)).join(named(s, PAIR[0], "a"), PAIR[0]).join(named(t, PAIR[1], "b"), PAIR[1])
     x, y = T.extract_tokens(F.col("a")), T.extract_tokens(F.col("b"))
-    return p.select("source1_entity_id", "candidate_entity_id", F.round(S.jaccard_similarity(x, y), 6).alias("jaccard"), F.round(S.dice_similarity(x, y), 6).alias("dice"), F.round(S.char_ngram_jaccard(F.lower("a"), F.lower("b")), 6).alias("ngram"))
+    return _rounded(p.select(*PAIR, S.jaccard_similarity(x, y).alias("jaccard"), S.dice_similarity(x, y).alias("dice"), S.char_ngram_jaccard(F.lower("a"), F.lower("b")).alias("ngram")))
 
 
 def string_similarity(spark, sf_dir):
-    """SM1, SM2, SM3, SM8 over names of pairs with equal held-out words."""
+    """SM2, SM3, SM8 over the names of true pairs."""
     s, t = _sides(spark, sf_dir)
-    p = _truth(s, t).join(s.select(F.col("entity_id").alias("source1_entity_id"), F.col("business_name").alias("a")), "source1_entity_id").join(t.select(F.col("entity_id").alias("candidate_entity_id"), F.col("business_name").alias("b")), "candidate_entity_id")
+    named = lambda d, key, c: d.select(F.col("entity_id").alias(key), F.col("business_name").alias(c))
+    p = _truth(s, t).join(named(s, PAIR[0], "a"), PAIR[0]).join(named(t, PAIR[1], "b"), PAIR[1])
     a, b = F.col("a"), F.col("b")
-    return p.select("source1_entity_id", "candidate_entity_id", S.levenshtein_similarity(a, b).alias("levenshtein"), S.lcs_similarity(a, b).alias("lcs"), S.token_sort_similarity(T.extract_tokens(a), T.extract_tokens(b)).alias("token_sort"), S.indel_similarity(a, b).alias("indel"))
+    return p.select(*PAIR, S.lcs_similarity(a, b).alias("lcs"), S.token_sort_similarity(T.extract_tokens(a), T.extract_tokens(b)).alias("token_sort"), S.indel_similarity(a, b).alias("indel"))
 
 
 def match_records(spark, sf_dir):
-    """MD9, MD10, JN7, AG15: every source record with its matches, best first."""
+    """MD2, MD5, MD8, JN4 to JN7, FL5, AG15, WN4: every source record with its matches, best first."""
     s, t = _sides(spark, sf_dir)
-    return pipeline.resolve(s, t, matching.DEFAULT_MODEL, THRESHOLD)[1]
+    return pipeline.resolve(s, t, matching.default_model(), THRESHOLD)[1].select("source1_entity_id", "matched_entity_ids")
 
 
 def match_summary(spark, sf_dir):
@@ -119,6 +187,61 @@ def match_summary(spark, sf_dir):
     return matching.summary(match_records(spark, sf_dir))
 
 
+def listed_matches(spark, sf_dir):
+    """MD7, JN7, SK3: the candidates of a weight of 50 or more, in the order of their ids."""
+    s, t = _sides(spark, sf_dir)
+    scored = blocking.candidates(*_prepared(s, t)).withColumn("pos", F.substring_index("candidate_entity_id", "-", -1).cast("long")).withColumnRenamed("weight", "score")
+    return matching.format_matching_results(_ids(s), scored, 50.0)
+
+
+def full_run(spark, sf_dir):
+    """MD9, MD10, SC1, SC2, SC9, SC10, SC11, SC14, SK1, SK6, SK7, JN8: the full run over files, half done by an earlier one, and its totals."""
+    at = new_path(spark, "run")
+    _write_sources(spark, sf_dir, at)
+    matching.default_model().save_table(spark, f"{at}/model")
+    args = (spark, at, f"{at}/matching.tsv", f"{at}/candidates.tsv", f"{at}/checkpoint", f"{at}/model", THRESHOLD)
+    pipeline.run_pipeline(*args, limit=_sides(spark, sf_dir)[0].count() // 2, countries=None)
+    return pipeline.run_pipeline(*args, countries=None)
+
+
+def _write_sources(spark, sf_dir, at):
+    r = business_records(spark, sf_dir)
+    for i in (1, 2, 3):
+        write_tsv(r.filter(F.col("source") == f"S{i}").select("entity_id", "business_name", "business_address", "country", "pos"), f"{at}/test_source{i}.tsv", "pos")
+
+
+def configured_run(spark, sf_dir):
+    """MD11, MD6, SC7, SC12: the configured run without a model, again with the candidates of the first, scored against the truth."""
+    at = new_path(spark, "configured")
+    _write_sources(spark, sf_dir, at)
+    s, t = _sides(spark, sf_dir)
+    write_tsv(_truth_lists(s, t).select("source1_entity_id", F.array_join("match_list", ",").alias("matched_entity_ids")), f"{at}/truth.tsv")
+    run = pipeline.EntityResolution({"matching": {"threshold": THRESHOLD, "model_path": "none"}, "blocking": {"max_candidates_per_entity": 50}})
+    args = (spark, *[f"{at}/test_source{i}.tsv" for i in (1, 2, 3)], f"{at}/candidates.tsv", f"{at}/matching.tsv", f"{at}/truth.tsv")
+    run.run(*args)
+    return run.run(*args)["evaluation"]
+
+
+def file_records(spark, sf_dir):
+    """SC1 to SC4, SK1, SK8, D3: source records written as TSV, in order, and read back."""
+    at = new_path(spark, "files")
+    s = _sides(spark, sf_dir)[0]
+    write_tsv(s.select("entity_id", "business_name", "business_address", "country", "pos"), at, "pos")
+    return last_of_each(read_records(spark, at)).drop("pos")
+
+
+def merged_checkpoints(spark, sf_dir):
+    """SC14, SK9, ST4: headerless checkpoints read and merged, the later one wins, with a row for every source record."""
+    at = new_path(spark, "checkpoints")
+    s, t, p = _found(spark, sf_dir)
+    lists = blocking.candidate_lists(p, s).withColumn("matched_entity_ids", F.substring_index("candidate_entity_ids", ",", 1))
+    columns = ["source1_entity_id", "candidate_entity_ids", "matched_entity_ids"]
+    held = F.pmod(F.substring_index("source1_entity_id", "-", -1).cast("long"), F.lit(2)) == 0
+    write_tsv(lists.filter(held).select(columns[0], *[F.lit("old").alias(c) for c in columns[1:]]), f"{at}/a.tsv", header=False)
+    write_tsv(lists.filter(held).select(*columns), f"{at}/b.tsv", header=False)
+    return pipeline.merge_checkpoints(s, [read_checkpoint(spark, f"{at}/{x}.tsv") for x in "ab"]).select(*columns)
+
+
 def remaining_records(spark, sf_dir):
     """JN8: source records that an earlier run has not done (it did those with a true match)."""
     s, t = _sides(spark, sf_dir)
@@ -126,9 +249,17 @@ def remaining_records(spark, sf_dir):
 
 
 def training(spark, sf_dir):
-    """MD1 to MD4, SP1, TH1: a fitted model's threshold grid on held-out ids."""
+    """MD1 to MD4, SP1, AG11, JN6, SC8, TH1: a fitted model's threshold grid on held-out ids."""
     s, t = _sides(spark, sf_dir)
-    return pipeline.train(s, t, _truth(s, t))[1]
+    return pipeline.train(s, t, _truth(s, t)).grid
+
+
+def threshold_search(spark, sf_dir):
+    """TH2: macro F0.5 of 19 thresholds over candidates, whose score is their weight's share of 300."""
+    s, t = _sides(spark, sf_dir)
+    scored = blocking.candidates(*_prepared(s, t)).select(*PAIR, F.least(F.lit(1.0), F.col("weight") / 300).alias("score"))
+    grid = evaluate.threshold_grid(scored, _truth(s, t), _ids(s), thresholds=[round(0.05 * i, 2) for i in range(1, 20)])
+    return _rounded(grid.drop("best"))
 
 
 def profile_sources(spark, sf_dir):
@@ -136,6 +267,14 @@ def profile_sources(spark, sf_dir):
     return evaluate.profile_source(business_records(spark, sf_dir))
 
 
+def merged_profiles(spark, sf_dir):
+    """AG3: profiles of the three sources, merged: counts, least and largest lengths."""
+    r = business_records(spark, sf_dir)
+    each = [evaluate.profile_source(r.filter(F.col("source") == f"S{i}")) for i in (1, 2, 3)]
+    m = evaluate.merge_profiles(each[0].unionByName(each[1]).unionByName(each[2]))
+    return m.select(*[c for c in m.columns if not c.startswith("mean")])
+
+
 def countries(spark, sf_dir):
     """AG17, LM2: the 15 most frequent countries."""
     return evaluate.country_counts(business_records(spark, sf_dir), 15)
@@ -157,120 +296,118 @@ def match_counts(spark, sf_dir):
 
 def entity_scores(spark, sf_dir):
     """AG5: precision, recall and F0.5 of every record."""
-    s, t = _sides(spark, sf_dir)
-    e = evaluate.entity_scores(_exact(s, t), _truth(s, t), _ids(s))
-    return e.select("source1_entity_id", "n_pred", "n_true", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f05", 6).alias("f05"))
+    s, t, p = _found(spark, sf_dir)
+    return _rounded(evaluate.entity_scores(p, _truth(s, t), _ids(s)))
 
 
 def macro_scores(spark, sf_dir):
     """AG6, AG7: macro means and singleton accuracy."""
-    s, t = _sides(spark, sf_dir)
-    e = evaluate.evaluate(_exact(s, t), _truth(s, t), _ids(s))
-    return e.select(*[F.round(c, 6).alias(c) for c in e.columns])
+    s, t, p = _found(spark, sf_dir)
+    return _rounded(evaluate.evaluate(p, _truth(s, t), _ids(s)))
 
 
 def pair_scores(spark, sf_dir):
-    """AG8, AG10: pair counts and micro metrics by target source."""
-    s, t = _sides(spark, sf_dir)
+    """AG8: pair counts and micro metrics by target source."""
+    s, t, p = _found(spark, sf_dir)
     src = lambda d: d.withColumn("source", F.substr("candidate_entity_id", F.lit(1), F.lit(2)))
-    m = evaluate.pair_metrics(src(_exact(s, t)), src(_truth(s, t)), ["source"])
-    return m.select("source", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f05")])
+    return _rounded(evaluate.pair_metrics(src(p), src(_truth(s, t)), ["source"]))
+
+
+def country_scores(spark, sf_dir):
+    """AG9: macro means and pair counts by the country of the source record."""
+    s, t, p = _found(spark, sf_dir)
+    by = s.select(F.col("entity_id").alias("source1_entity_id"), F.upper("country").alias("country"))
+    return _rounded(evaluate.scores_by_country(p, _truth(s, t), _ids(s), by))
+
+
+def source_scores(spark, sf_dir):
+    """AG10: macro means and pair counts for the targets of one source at a time."""
+    s, t, p = _found(spark, sf_dir)
+    return _rounded(evaluate.scores_by_source(p, _truth(s, t), _ids(s)))
 
 
 def sampled_ids(spark, sf_dir):
-    """SP3: 20 source ids by hash."""
-    return evaluate.sample_ids(_ids(_sides(spark, sf_dir)[0]), 20)
+    """SP3, SP7: 20 source ids by hash."""
+    return sampling.sample_ids(_ids(_sides(spark, sf_dir)[0]), 20)
 
 
 def grouped_split(spark, sf_dir):
     """SP1: true pairs with the side of their id."""
-    return evaluate.grouped_split(_truth(*_sides(spark, sf_dir)))
+    return sampling.grouped_split(_truth(*_sides(spark, sf_dir)))
 
 
 def sampled_targets(spark, sf_dir):
-    """SP5: true targets and a share of others."""
+    """SP4, SP5, JN9, JN10: true targets of all source records and a share of others."""
     s, t = _sides(spark, sf_dir)
-    return evaluate.sample_targets(t, _truth(s, t)).select("entity_id")
+    return sampling.sample_targets(t, _truth(s, t)).select("entity_id")
 
 
-def validation(spark, sf_dir):
-    """VA2 to VA9: findings of the exact-name matches as a submission."""
+def sampled_entities(spark, sf_dir):
+    """SP8, SP4 to SP6, SC3, SC5: a whole sample: source records by hash, their truth, and targets of both sources, checked; ids and the file they are in."""
+    s, t = _sides(spark, sf_dir)
+    truth = _truth_lists(s, t).withColumn("matched_entity_ids", F.array_join("match_list", ","))
+    made = sampling.create_sample(s, t.filter("source = 'S2'"), t.filter("source = 'S3'"), truth, 100)
+    out = [d.select(F.lit(name).alias("file"), F.col(d.columns[0] if "entity_id" not in d.columns else "entity_id").alias("entity_id")) for name, d in made.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def synthetic_pairs(spark, sf_dir):
+    """SP2: true pairs and others drawn by hash, labelled."""
     s, t = _sides(spark, sf_dir)
-    p = _exact(s, t)
-    lists = p.groupBy("source1_entity_id").agg(F.array_join(F.array_sort(F.collect_list("candidate_entity_id")), ",").alias("ids"))
-    return evaluate.validate_lists(lists, _ids(s), t)
+    return sampling.synthetic_pairs(s, t, _truth(s, t))
+
+
+def validation(spark, sf_dir):
+    """VA3 to VA6, VA9, JN11: findings of a result table with planted faults."""
+    s, t, p = _found(spark, sf_dir)
+    lists = blocking.candidate_lists(p, s).withColumn("no", F.substring_index("source1_entity_id", "-", -1).cast("long"))
+    ids = F.when(F.col("no") % 7 == 0, F.concat_ws(",", F.lit("S2-0"), F.lit("S2-0"), F.lit("S1-5"), F.lit("X-1"))).otherwise(F.col("candidate_entity_ids"))
+    rows = lists.filter("no % 11 <> 0").select(F.when(F.col("no") % 13 == 0, F.concat(F.lit("S1-x"), F.col("no").cast("string"))).otherwise(F.col("source1_entity_id")).alias("source1_entity_id"), ids.alias("ids"))
+    return validate.validate_lists(rows.unionByName(rows.filter(F.col("ids") == "S2-0,S2-0,S1-5,X-1")), _ids(s), t)
+
+
+def submission(spark, sf_dir):
+    """VA1, VA2, VA7, VA8, VA12, SC13, SC15: findings of written files: matches are the first candidates and one that is none."""
+    at = new_path(spark, "submission")
+    _write_sources(spark, sf_dir, at)
+    s, t, p = _found(spark, sf_dir)
+    lists = blocking.candidate_lists(p, s)
+    write_tsv(lists, f"{at}/candidates.tsv", "pos")
+    first = F.substring_index("candidate_entity_ids", ",", 1)
+    write_tsv(lists.select("source1_entity_id", F.when((first != "") & (F.col("pos") % 2 == 0), F.concat(first, F.lit(",S3-none"))).otherwise(first).alias("matched_entity_ids"), "pos"), f"{at}/matching.tsv", "pos")
+    return validate.validate_submission(spark, f"{at}/matching.tsv", f"{at}/candidates.tsv", at, True)
+
+
+def final_check(spark, sf_dir):
+    """VA10: the integrity of outputs of which every ninth record is left out and every tenth match is unknown."""
+    s, t, p = _found(spark, sf_dir)
+    lists = blocking.candidate_lists(p, s).withColumnRenamed("candidate_entity_ids", "ids")
+    wrong = lists.filter("pos % 9 <> 0").withColumn("ids", F.when(F.col("pos") % 10 == 0, F.lit("S2-none")).otherwise(F.col("ids")))
+    return validate.final_check(wrong, lists, _ids(s), t)
+
+
+def recovery(spark, sf_dir):
+    """VA11: a checkpoint of some source records, some of them twice, held against one country."""
+    s, t, p = _found(spark, sf_dir)
+    lists = blocking.candidate_lists(p, s).select("source1_entity_id", F.col("candidate_entity_ids").alias("matched_entity_ids"), "pos").filter("pos % 4 <> 0")
+    rows = lists.unionByName(lists.filter("pos % 5 = 0").withColumn("matched_entity_ids", F.lit("S1-1")))
+    return validate.recovery_check(rows, _ids(s.filter("country = 'FR'")))
 
 
 def outside_candidates(spark, sf_dir):
-    """VA7: exact-name matches that hold no true pair."""
+    """VA7, ST3: true pairs that are no candidates."""
     s, t = _sides(spark, sf_dir)
-    return evaluate.not_in_candidates(_exact(s, t), _truth(s, t))
+    return evaluate.not_in_candidates(_truth(s, t), blocking.candidates(*_prepared(s, t)))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        records, normalized, names, blocking_keys, candidate_pairs, candidate_lists, blocking_quality, pair_features, simple_scores, set_similarity, string_similarity, match_records, match_summary, remaining_records,
-        training, profile_sources, countries, profile_truth, match_counts, entity_scores, macro_scores, pair_scores, sampled_ids, grouped_split, sampled_targets, validation, outside_candidates,
+        records, normalized, names, preprocessed, prepared, token_frequencies, blocking_keys, name_candidates, address_candidates, candidate_pairs, fast_candidate_pairs, candidate_lists, blocking_quality, blocking_recall,
+        pair_features, plain_features, fast_features, simple_scores, set_similarity, string_similarity, match_records, match_summary, listed_matches, full_run, configured_run, file_records, merged_checkpoints, remaining_records,
+        training, threshold_search, profile_sources, merged_profiles, countries, profile_truth, match_counts, entity_scores, macro_scores, pair_scores, country_scores, source_scores,
+        sampled_ids, grouped_split, sampled_targets, sampled_entities, synthetic_pairs, validation, submission, final_check, recovery, outside_candidates,
     )
 }
 
-_REC = r"""
-d AS (SELECT doc_id, lang, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-rec AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id,
-  array_to_string(list_concat(w[1:3], [(['Inc', 'Pvt Ltd', 'LLC', 'GmbH', 'Co', 'Group'])[doc_id % 6 + 1]]), ' ') AS business_name,
-  array_to_string(list_concat(list_concat([CAST(len(w) AS VARCHAR)], w[4:5]), [(['St', 'Rd', 'Ave', 'Blvd'])[doc_id % 4 + 1], lpad(CAST(len(w) * 37 % 100000 AS VARCHAR), 5, '0')]), ' ') AS business_address,
-  CASE WHEN doc_id % 17 = 0 THEN '' WHEN lang = 'en' THEN (['USA', 'US'])[doc_id % 2 + 1] WHEN lang = 'fr' THEN 'FR' WHEN lang = 'de' THEN 'Germany' ELSE 'Spain' END AS country,
-  doc_id AS pos, 'S' || (doc_id % 3 + 1) AS source, array_to_string(w[6:17], ' ') AS truth_key, len(w) AS no FROM d),
-truth AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM rec a JOIN rec b ON a.truth_key = b.truth_key WHERE a.source = 'S1' AND b.source <> 'S1' AND a.truth_key <> '' AND a.no >= 17 AND b.no >= 17),
-ids AS (SELECT entity_id AS source1_entity_id FROM rec WHERE source = 'S1'),
-core AS (SELECT entity_id, source, country, trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(lower(business_name)), '([.,/()-])(\s*[.,/()-])+', '\1', 'g'), '^$', '')), '[\s,]+(pvt ltd|group|gmbh|inc|llc|co)\s*$', ''), '.,;: ') AS k,
-  CASE country WHEN 'USA' THEN 'united states' WHEN 'US' THEN 'united states' WHEN 'FR' THEN 'france' ELSE lower(country) END AS c FROM rec),
-ex AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM core a JOIN core b ON a.k = b.k WHERE a.source = 'S1' AND b.source <> 'S1' AND (a.c = '' OR b.c = '' OR a.c = b.c)),
-lists AS (SELECT i.source1_entity_id, count(candidate_entity_id) AS n, count_if(candidate_entity_id LIKE 'S2-%') AS s2, count_if(candidate_entity_id LIKE 'S3-%') AS s3 FROM ids i LEFT JOIN truth t USING (source1_entity_id) GROUP BY 1),
-per AS (SELECT source1_entity_id, count(p) AS n_pred, count(t) AS n_true, count_if(p IS NOT NULL AND t IS NOT NULL) AS tp
-  FROM (SELECT *, 1 AS p FROM ex) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (source1_entity_id, candidate_entity_id) GROUP BY 1),
-pr AS (SELECT source1_entity_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp,
-  CASE WHEN coalesce(n_pred, 0) = 0 AND coalesce(n_true, 0) = 0 THEN 1.0 ELSE coalesce(tp, 0) / greatest(coalesce(n_pred, 0), 1) END AS p,
-  CASE WHEN coalesce(n_pred, 0) = 0 AND coalesce(n_true, 0) = 0 THEN 1.0 ELSE coalesce(tp, 0) / greatest(coalesce(n_true, 0), 1) END AS r FROM ids LEFT JOIN per USING (source1_entity_id)),
-sc AS (SELECT *, CASE WHEN p <= 0 OR r <= 0 THEN 0.0 ELSE 1.25 * p * r / (0.25 * p + r) END AS f FROM pr)
-"""
-_SPLIT = r"'[\s\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+'"
-
-
-def _sql(body: str) -> str:
-    return f"WITH {_REC} {body}"
-
-
-def _profile_sql() -> str:
-    parts = ["count(*) AS rows"]
-    for c in ("entity_id", "business_name", "business_address", "country"):
-        n = f"CASE WHEN trim({c}) = '' THEN 0 ELSE length({c}) END"
-        parts += [f"count_if(trim({c}) = '') AS missing_{c}", f"min({n}) AS min_{c}", f"max({n}) AS max_{c}", f"round(avg({n}), 2) AS mean_{c}"]
-    return _sql("SELECT " + ", ".join(parts + [f"count_if(entity_id LIKE '{p}-%') AS prefix_{p}" for p in ("S1", "S2", "S3")]) + " FROM rec")
-
-
-ORACLE = {
-    "records": _sql("SELECT entity_id, business_name, business_address, country, source FROM rec"),
-    "normalized": _sql(f"""SELECT entity_id, CASE country WHEN 'USA' THEN 'united states' WHEN 'US' THEN 'united states' WHEN 'FR' THEN 'france' ELSE lower(country) END AS norm_country,
-      array_to_string(list_sort(list_distinct(list_filter(string_split_regex(nfc_normalize(lower(business_address)), {_SPLIT}), lambda x: x <> ''))), '|') AS address_tokens,
-      array_to_string(list_sort(list_distinct(regexp_extract_all(business_address, '\\d+'))), '|') AS numbers,
-      array_to_string(list_transform(list_sort(list_distinct(regexp_extract_all(business_address, '\\d+'))), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END), '|') AS plain_numbers,
-      CASE source WHEN 'S1' THEN 'source1' WHEN 'S2' THEN 'source2' ELSE 'source3' END AS label FROM rec"""),
-    "remaining_records": _sql("SELECT entity_id FROM rec WHERE source = 'S1' AND entity_id NOT IN (SELECT source1_entity_id FROM truth)"),
-    "profile_sources": _profile_sql(),
-    "countries": _sql("SELECT country, count(*) AS n FROM rec GROUP BY 1 ORDER BY n DESC, country LIMIT 15"),
-    "profile_truth": _sql("SELECT count(*) AS rows, count_if(n = 0) AS singletons, count_if(n > 0) AS has_matches, CAST(sum(s2) AS BIGINT) AS s2_matches, CAST(sum(s3) AS BIGINT) AS s3_matches FROM lists"),
-    "match_counts": _sql("SELECT CAST(n AS INTEGER) AS match_count, count(*) AS n FROM lists GROUP BY 1"),
-    "entity_scores": _sql("SELECT source1_entity_id, n_pred, n_true, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f05 FROM sc"),
-    "macro_scores": _sql("SELECT round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f05, round(coalesce(avg(CASE WHEN n_true = 0 THEN CASE WHEN n_pred = 0 THEN 1.0 ELSE 0.0 END END), 1.0), 6) AS singleton_accuracy, round(coalesce(avg(CASE WHEN n_true > 0 THEN f END), 0.0), 6) AS non_singleton_f05 FROM sc"),
-    "pair_scores": _sql("""SELECT source, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p <= 0 OR r <= 0 THEN 0.0 ELSE 1.25 * p * r / (0.25 * p + r) END, 6) AS f05 FROM (
-      SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM (SELECT substr(candidate_entity_id, 1, 2) AS source, count_if(p IS NOT NULL AND t IS NOT NULL) AS tp, count_if(t IS NULL) AS fp, count_if(p IS NULL) AS fn
-      FROM (SELECT *, 1 AS p FROM ex) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (source1_entity_id, candidate_entity_id) GROUP BY 1))"""),
-    "sampled_ids": _sql("SELECT source1_entity_id FROM ids ORDER BY md5(source1_entity_id || '#42'), 1 LIMIT 20"),
-    "grouped_split": _sql("""SELECT t.*, v.source1_entity_id IS NOT NULL AS is_val FROM truth t LEFT JOIN (SELECT source1_entity_id FROM (SELECT source1_entity_id, row_number() OVER (ORDER BY md5(source1_entity_id || '#42'), source1_entity_id) AS r, count(*) OVER () AS n
-      FROM (SELECT DISTINCT source1_entity_id FROM truth)) WHERE r <= greatest(1, CAST(floor(n * 0.2) AS BIGINT))) v ON t.source1_entity_id = v.source1_entity_id"""),
-    "sampled_targets": _sql("""SELECT DISTINCT candidate_entity_id AS entity_id FROM truth UNION ALL SELECT entity_id FROM (SELECT entity_id, row_number() OVER (ORDER BY md5(entity_id || '#42'), entity_id) AS r FROM rec WHERE source <> 'S1' AND entity_id NOT IN (SELECT candidate_entity_id FROM truth))
-      WHERE r <= (SELECT CAST(floor(count(DISTINCT candidate_entity_id) * 0.2) AS BIGINT) FROM truth)"""),
-    "outside_candidates": _sql("SELECT source1_entity_id, candidate_entity_id FROM ex EXCEPT SELECT source1_entity_id, candidate_entity_id FROM truth"),
-}
+__all__ = ["ORACLE", "QUERIES"]

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.blocking import candidates, enrich
-from ..operators.matching import MatchingClassifier, features, matches
+from ..operators.blocking import candidates, index_targets
+from ..operators.matching import MatchingClassifier, matches
+from ..operators.records import prepare
+from ..sources.staging import stage
 
 
 def score_stream(stream: DataFrame, targets: DataFrame, model: MatchingClassifier, out: str, checkpoint: str, threshold: float = 0.98):
-    """Starts the query; each batch's matches are appended to out as Parquet."""
-    static = enrich(targets)
+    """Starts the query; each batch's matches go to a folder of their own in out, which a repeated batch writes anew, so each record counts once. Targets and their index are made once."""
+    static = stage(prepare(targets), "targets")
+    index = stage(index_targets(static), "index")
 
     def batch(df: DataFrame, number: int) -> None:
-        pairs = candidates(enrich(df), static)
-        scored = model.predict_proba(features(pairs, df, targets))
-        matches(scored, df, threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        source = stage(prepare(df), "batch")
+        scored = model.score_matches(candidates(source, static, index=index), source, static, threshold)
+        matches(scored, source, threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
