@@ -5,9 +5,15 @@ increasing run of their places is kept, and the gaps between anchors are aligned
 where more words are unique. Coverage is the share of the license's words that are aligned in a
 window of the document; a license is found at a coverage of COVERAGE or more.
 
+A copy is looked for around each place of a probe, one of the template's rarest words in the document. A probe that the
+template holds once is an anchor itself, and the text between its neighbours of the same word is what is aligned to either side, so
+copies that stand close, or back to back, don't hide each other's unique words; where that finds too little, as with a probe that
+strays into a copy, the whole stretch of twice the template's length to either side is aligned. Of overlapping finds of one
+license that of most aligned words, less the others between them, stays; a find is dropped for one of another license that overlaps it by half, with as many aligned words and more coverage.
+
 Templates are parameters, given as text, and go to the executors once; they don't grow with the data.
 Defined results: null and blank texts hold no license; each row is scanned alone, so repeated rows and ties
-between templates give each its own result (sorted by place, then name); extra columns are not read.
+between templates give each its own result (sorted by place, then name); a text of any length is read whole; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,19 +26,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEMPLATES
+
 COVERAGE = 0.8
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Fixed texts: license notices and opening clauses, by SPDX name.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0-text": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-}
 
 
 def license_words(text: str) -> list[str]:
@@ -83,6 +80,64 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _densest(pairs: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:
+    """Most pairs within reach words of the document, and its first and last of them: a pair far from its neighbours belongs to other text."""
+    best, k = (0, 0, 0), 0
+    for x in range(len(pairs)):
+        while pairs[x][1] - pairs[k][1] >= reach:
+            k += 1
+        best = max(best, (x - k + 1, -pairs[k][1], pairs[x][1]))
+    return best[0], -best[1], best[2]
+
+
+def _around(t: list[str], need: Counter, words: list[str], at: int, lo: int, hi: int, j: int | None) -> tuple[int, int, int] | None:
+    """Aligned words, start and end of a copy in words[lo:hi]; j: the place in the template that is bound to place at."""
+    if sum((Counter(words[lo:hi]) & need).values()) < COVERAGE * len(t):
+        return None
+    if j is None:
+        pairs = [(a, b + lo) for a, b in align(t, words[lo:hi])]
+    else:
+        pairs = [(a, b + lo) for a, b in align(t[:j], words[lo:at])] + [(j, at)] + [(a + j + 1, b + at + 1) for a, b in align(t[j + 1 :], words[at + 1 : hi])]
+    n, first, last = _densest(pairs, 2 * len(t))
+    return (n, first, last + 1) if n >= COVERAGE * len(t) else None
+
+
+def copies(words: list[str], t: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+    """Aligned words, start and end of the copies of one template, which don't overlap. places: of the template's words in the document."""
+    need = Counter(t)
+    if sum(min(k, len(places.get(w, ()))) for w, k in need.items()) < COVERAGE * len(t):
+        return []
+    # Of any COVERAGE of the words some rarest ones must be there: their places are where a copy can lie.
+    probes, left = [], len(t) - COVERAGE * len(t)
+    for w in sorted(need, key=lambda w: (len(places.get(w, ())), w)):
+        probes.append(w)
+        left -= need[w]
+        if left < 0:
+            break
+    found: list[tuple[int, int, int]] = []
+    whole: list[tuple[int, int]] = []
+    for w in probes:
+        own = places.get(w, [])
+        j = t.index(w) if need[w] == 1 else None
+        for k, at in enumerate(own):
+            if any(a <= at < z for a, z in whole):
+                continue
+            lo, hi = max(0, at - 2 * len(t)), min(len(words), at + 2 * len(t))
+            got = None
+            if j is not None:
+                got = _around(t, need, words, at, max(lo, own[k - 1] + 1 if k else 0), min(hi, own[k + 1] if k + 1 < len(own) else hi), j)
+            got = got or _around(t, need, words, at, lo, hi, None)
+            if got:
+                found.append(got)
+                if got[0] == len(t) and 4 * (got[2] - got[1]) <= 5 * len(t):
+                    whole.append(got[1:])
+    out: list[tuple[int, int, int]] = []
+    for n, a, z in sorted(set(found), key=lambda x: (x[2] - x[1] - 2 * x[0], x[1])):
+        if all(z <= b or y <= a for _, b, y in out):
+            out.append((n, a, z))
+    return out
+
+
 def scan(words: list[str], templates: dict[str, list[str]]) -> list[tuple[int, int, str, float]]:
     """First word, end, name and coverage of each license in a document's words."""
     places: dict[str, list[int]] = {}
@@ -90,40 +145,9 @@ def scan(words: list[str], templates: dict[str, list[str]]) -> list[tuple[int, i
     for i, w in enumerate(words):
         if w in vocabulary:
             places.setdefault(w, []).append(i)
-    out = []
-    for name, t in templates.items():
-        need = Counter(t)
-        present = sum(min(k, len(places.get(w, ()))) for w, k in need.items())
-        if present < COVERAGE * len(t):
-            continue
-        # Of any COVERAGE of the words some rarest ones must be there: their places are where a copy can lie.
-        rare = sorted(need, key=lambda w: (len(places.get(w, ())), w))
-        probe, left = [], len(t) - COVERAGE * len(t)
-        for w in rare:
-            probe += places.get(w, [])
-            left -= need[w]
-            if left < 0:
-                break
-        end = -1
-        for at in sorted(set(probe)):
-            if at < end:
-                continue
-            lo = max(end, 0, at - 2 * len(t))
-            window = words[lo : at + 2 * len(t)]
-            if sum((Counter(window) & need).values()) < COVERAGE * len(t):
-                continue
-            pairs = align(t, window)
-            # A pair far from its neighbours belongs to other text: keep the densest stretch.
-            best = (0, 0, 0)
-            k = 0
-            for x in range(len(pairs)):
-                while pairs[x][1] - pairs[k][1] >= 2 * len(t):
-                    k += 1
-                best = max(best, (x - k + 1, -pairs[k][1], pairs[x][1]))
-            if best[0] >= COVERAGE * len(t):
-                out.append((lo - best[1], lo + best[2] + 1, name, best[0] / len(t)))
-                end = lo + best[2] + 1
-    return sorted(out)
+    every = [(a, z, name, n / len(t), n) for name, t in templates.items() for n, a, z in copies(words, t, places)]
+    better = lambda x, y: y[3] > x[3] and y[4] >= x[4] and 2 * (min(x[1], y[1]) - max(x[0], y[0])) >= x[1] - x[0]
+    return sorted(x[:4] for x in every if not any(better(x, y) for y in every))
 
 
 def _scan(sent):
