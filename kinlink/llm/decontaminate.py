@@ -6,12 +6,13 @@ needs only the first word of that order (the necessary prefix): documents are pr
 window offset and length bound the place, and a candidate counts only if all words of the
 window equal the document's words there.
 
-The benchmark is held in parts of at most PART_BYTES of text. One part is sent to the
-executors at a time; a benchmark of more parts takes as many passes over the documents, whose
-rows are then merged by document. Nothing of the documents is collected but one count per benchmark word.
+The benchmark is held in parts of at most PART_BYTES of text. One part at a time is sent to the executors, counted, probed
+and written, and its broadcast dropped before the next; a benchmark of more parts takes as many passes over the documents. Each part's
+hits are kept by a 128-bit key of the document's id and text and met again in a join. Nothing of the documents is collected but one count per benchmark word.
 
 Defined results: null text has no words (0, 0, 0, hash of "", false); items with null id or
-without words are no items; repeated rows give repeated results; an empty benchmark leaves all clean.
+without words are no items; repeated rows give repeated results; equal or null doc_ids of different texts stay apart; a text of any
+length is probed whole; an empty benchmark leaves all clean; the caller's columns, whatever their names, come through untouched.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, row_key, stage
+
 WINDOW = 10
 PART_BYTES = 16 << 20
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,6 +56,7 @@ def rarity(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
     """Document frequency, over all documents, of the words of a benchmark part."""
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
     rows = docs.filter("text is not null").select("text").mapInArrow(_counts(sent), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
     return {r.word: r.n for r in rows}
 
 
@@ -90,21 +94,33 @@ def find(words: list[str], index: dict) -> tuple[list[tuple[int, int]], set[str]
     return merged, items
 
 
-def _probe(index, keep: int):
+_FOUND = "n_words long, spans array<struct<a:bigint,z:bigint>>, items array<string>"
+
+
+def _probe(index, only_hits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, spans, items = [], [], []
-            for t in b.column("_text").to_pylist():
+            for t in b.column("text").to_pylist():
                 w = WORDS.findall(_lower(t)) if t else []
                 s, i = find(w, index.value)
                 sizes.append(len(w))
                 spans.append([{"a": x, "z": y} for x, y in s])
                 items.append(sorted(i))
-            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], [*b.schema.names[:keep], "n_words", "_spans", "_items"])
+            kept = [k for k, n in enumerate(b.schema.names) if n != "text"]
+            out = pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], [*(b.schema.names[k] for k in kept), "n_words", "spans", "items"])
+            yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if only_hits else out
 
     return run
 
 
+def _probed(source: DataFrame, part: list[tuple[str, list[str]]], docs: DataFrame, only_hits: bool) -> tuple[DataFrame, object]:
+    """source (columns, text) with the part's hits, and the broadcast that it reads."""
+    sent = docs.sparkSession.sparkContext.broadcast(build_index(part, rarity(docs, {w for _, ws in part for w in ws}) if part else {}))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text"]
+    return source.mapInArrow(_probe(sent, only_hits), ", ".join([*kinds, _FOUND])), sent
+
+
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
     part, size = [], 0
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").distinct()
@@ -119,38 +135,49 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
         yield part
 
 
+def _merged(spans):
+    """Overlapping and adjacent spans joined."""
+    none = F.expr("cast(array() as array<struct<a:bigint,z:bigint>>)")
+
+    def add(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.array(F.struct(last["a"].alias("a"), F.greatest(last["z"], x["z"]).alias("z")))
+        return F.when(last["z"] >= x["a"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), none, add)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """keep, n_words, spans (merged hit spans in words) and items (sorted ids) of every document."""
-    keep = keep or ["doc_id"]
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    schema = [*source.schema.fields[: len(keep)]]
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words long, _spans array<struct<a:bigint,z:bigint>>, _items array<string>"])
-    outs = []
-    for part in _parts(benchmark):
-        counts = rarity(docs, {w for _, ws in part for w in ws})
-        index = docs.sparkSession.sparkContext.broadcast(build_index(part, counts))
-        outs.append(source.mapInArrow(_probe(index, len(keep)), kind))
-    if not outs:
-        index = docs.sparkSession.sparkContext.broadcast({})
-        outs.append(source.mapInArrow(_probe(index, len(keep)), kind))
-    if len(outs) == 1:
-        return outs[0]
-    both = outs[0]
-    for o in outs[1:]:
-        both = both.unionByName(o)
-    # Rows that are equal in all of keep give equal results; n counts them, once per pass.
-    merged = both.groupBy(*keep, "n_words").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"), (F.count("*") / len(outs)).cast("int").alias("_n"))
-    joined = F.aggregate(F.array_sort("_spans"), F.expr("cast(array() as array<struct<a:bigint,z:bigint>>)"), lambda acc, x: F.when(F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(F.lit(None)))["z"] >= x["a"], F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["z"], x["z"]).alias("z"))))).otherwise(F.concat(acc, F.array(x))))
-    return merged.withColumn("_spans", joined).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_copy", "_n")
+    """row (a struct of keep), n_words, spans (merged hit spans in words) and items (sorted ids) of every document."""
+    keep = ["doc_id"] if keep is None else keep
+    parts = _parts(benchmark)
+    part, ahead = next(parts, []), next(parts, None)
+    source = docs.select(packed(docs, keep), "text")
+    if ahead is None:
+        return _probed(source, part, docs, False)[0]
+    # Hits of every part but the last, by the document's content: equal rows have equal hits.
+    key = row_key("doc_id", "text").alias("key")
+    hits = []
+    while ahead is not None:
+        found, sent = _probed(docs.select(key, "text"), part, docs, True)
+        hits.append(stage(found.dropDuplicates(["key"]).select("key", "spans", "items"), "hits"))
+        sent.destroy()
+        part, ahead = ahead, next(parts, None)
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    every = every.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("more"), F.flatten(F.collect_list("items")).alias("others"))
+    last = _probed(docs.select(packed(docs, keep), key, "text"), part, docs, False)[0].join(every, "key", "left")
+    both = lambda c, d: F.when(F.col(d).isNull(), F.col(c)).otherwise(F.concat(c, d))
+    return last.select("row", "n_words", _merged(both("spans", "more")).alias("spans"), F.array_sort(F.array_distinct(both("items", "others"))).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
-    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["z"] - s["a"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["z"] - s["a"])
+    return found.select("row.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window occurs, with all their columns."""
-    cols = docs.columns
-    return contamination(docs, benchmark, cols).filter(F.size("_spans") == 0).select(*cols)
+    return contamination(docs, benchmark, docs.columns).filter(F.size("spans") == 0).select("row.*")
