@@ -8,8 +8,8 @@ one record more, so that Spark commits them and any task can be run again.
 
 Records with equal payloads of at least LEAST bytes: the one of the largest page_id is the
 response and the others revisit it (SHA-1 of the payload). Defined results: null html is empty;
-rows equal in page_id and payload to the response are responses too; null page_id sorts lowest;
-an empty table gives no archive.
+rows equal in page_id and payload to the response are responses too; null page_id sorts lowest; a page of any length is written whole;
+an empty table gives no archive; extra columns, whatever their names, are not read. A stream that is cut off or broken raises an error.
 """
 
 from __future__ import annotations
@@ -63,11 +63,11 @@ def deflate(data: bytes) -> bytes:
 def split_stream(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
     """Records of a gzip stream (of one member or more), inflated once; memory holds a record and a piece."""
     held = bytearray()
-    need = None
+    need, open_member = None, False
     z = zlib.decompressobj(31)
     while data:
         held += z.decompress(data, piece)
-        data = z.unconsumed_tail
+        data, open_member = z.unconsumed_tail, not z.eof
         if z.eof:
             data, z = z.unused_data, zlib.decompressobj(31)
         at = 0
@@ -76,13 +76,16 @@ def split_stream(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
                 end = held.find(b"\r\n\r\n", at)
                 if end < 0:
                     break
-                need = end + 4 - at + int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", held[at:end])[1]) + 4
+                size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", held[at:end])
+                if not held.startswith(b"WARC/", at) or size is None:
+                    raise ValueError("the archive holds something that is no record")
+                need = end + 4 - at + int(size[1]) + 4
             if len(held) - at < need:
                 break
             yield bytes(held[at : at + need])
             at, need = at + need, None
         del held[:at]
-    if held:
+    if held or open_member:
         raise ValueError("the archive ends inside a record")
 
 
