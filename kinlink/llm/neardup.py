@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, packed, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -316,7 +316,6 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs of each class: that of the smallest doc_id, with all its columns. Of rows that are equal in doc_id and text, one stays."""
     key = lambda node: F.concat(node, F.coalesce(F.col("doc_id").cast("long").cast("string").cast("binary"), F.lit(b"")))
-    name = "_kept" + "_" * max(len(c) for c in docs.columns)  # no column has it
-    keep = stage(_classed(docs).filter("first").select(key(F.col("node")).alias(name)).distinct(), "kept")
-    keyed = docs.withColumn(name, key(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))))
-    return keyed.join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
+    keep = stage(_classed(docs).filter("first").select(key(F.col("node")).alias("kept")).distinct(), "kept")
+    keyed = docs.select(packed(docs), key(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("kept"))
+    return keyed.join(keep, "kept", "left_semi").dropDuplicates(["kept"]).select("row.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, linededup, mixing, neardup, pii, quality, tokens, toxicity, warc
 from .common import table
+from .oracle import ORACLE
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -72,4 +73,5 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_pii, op4_toxicity, op5_tokens, op6_line_dedup, op7_warc, op8_quality, op9_mix, op10_near_dup)}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES", "tokenizer_path"]
