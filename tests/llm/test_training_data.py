@@ -1,6 +1,7 @@
 """The queries against brute-force versions over all rows of a small input with odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -78,6 +79,12 @@ def test_decontaminate(spark, sf, docs):
     old, decontaminate.PART_BYTES = decontaminate.PART_BYTES, 2_000
     try:
         assert rows(op2_decontaminate(spark, sf), *cols) == want
+        # Texts of one id, or none, and of as many words stay apart in all parts.
+        items = [(int(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.item_id is not None and r.text]
+        texts = [(None, items[0][1]), (None, items[-6][1]), (7, "plain " * 12), (7, items[3][1])]
+        d = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet"), ["doc_id", "text"])
+        got = {r.text: set(r["items"]) for r in d.select("row.*", "items").collect()}
+        assert [str(i) in got[t] for t, i in ((items[0][1], items[0][0]), (items[-6][1], items[-6][0]), (items[3][1], items[3][0]))] == [True] * 3 and got["plain " * 12] == set()
     finally:
         decontaminate.PART_BYTES = old
 
@@ -131,6 +138,28 @@ def test_pii_counts_patterns_in_all_documents(spark):
     assert spans(seeds + other + [plain[0]] * 90) == "email:21:34"
 
 
+def test_pii_reads_long_contexts_and_learns_from_what_it_found(spark):
+    from kinlink.llm.pii import digest, personal_data
+
+    far = "https://x.example/" + "y" * 300
+    texts = [f"please {far} address: user{i}@host.com then on" for i in range(9)] + [f"{far} address: user7731.host now"]
+    # What the first pattern discovers induces a second, which discovers more; none of these is of a fixed shape.
+    texts += [f"ask for pass code: badge{i}.x end" for i in range(9)] + [f"word mail address: badge{i}.x end" for i in range(9)] + [f"we mail address: n{i}@host.com end" for i in range(60)]
+    texts += ["ask for pass code: gate9.y end"]
+    got = {r.doc_id: r.spans for r in digest(personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    at = len(far) + 10
+    assert got[9] == f"email:{at}:{at + 13}"
+    assert got[len(texts) - 1] == "email:19:26"
+
+
+def test_pii_places_of_very_many_matches(spark):
+    from kinlink.llm.pii import digest, personal_data
+
+    text = "é " + " ".join(f"a{i}@b.c" for i in range(3000))
+    (r,) = digest(personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert r.n_email == 3000 and r.base_sha256 == sha(",".join(f"{k}:{a}:{z}" for a, _, z, k in base(text)))
+
+
 def test_tokens(spark, sf, docs):
     from tokenizers import Tokenizer
 
@@ -181,6 +210,25 @@ def test_warc(spark, sf):
     assert rows(op7_warc(spark, sf), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
 
 
+def test_warc_streams_of_all_kinds():
+    import zlib as z
+
+    from kinlink.llm.warc import deflate, normalise_archive, record, split_stream
+
+    records = [record(i, f"u{i}", b"x" * n, "0" * 40, None) for i, n in enumerate((0, 5, 3000, 70_000))]
+    for piece in (7, 1 << 20):
+        assert list(split_stream(deflate(b"".join(records)), piece)) == records
+        assert list(split_stream(b"".join(map(deflate, records)), piece)) == records
+        assert list(split_stream(deflate(records[0]) + deflate(b"".join(records[1:])), piece)) == records
+    data, index = normalise_archive(deflate(b"".join(records)))
+    assert [z.decompress(data[o : o + n], 31) for o, n in index] == records and list(split_stream(b"")) == []
+    for bad in (deflate(b"".join(records))[:-20], deflate(b"".join(records)[:-9]), deflate(records[0])[:-4], deflate(b"no record\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(split_stream(bad))
+    with pytest.raises(z.error):
+        list(split_stream(b"junk" * 50))
+
+
 def measures(t):
     ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -203,6 +251,76 @@ def test_quality(spark, sf, docs):
     assert sum(r.kept for r in got if r.doc_id in bad) <= 0.3 * len(bad)
 
 
+def brute_verdicts(rows):
+    """kept of (lang, source, text) rows, from quantiles of binned values."""
+    def line_counts(t):
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(lines)
+
+    feats = []
+    for lang, source, t in rows:
+        n, chars, symbols, dups, _, failed = measures(t)
+        feats.append((lang, source, failed, symbols / max(chars, 1), dups / max(line_counts(t), 1), chars / max(n, 1)))
+
+    def quantiles(values):
+        bins = sorted(math.ceil(math.log(v) / math.log(1.02)) if v > 1e-9 else -(1 << 20) for v in values)
+        pick = lambda q: bins[max(0, math.ceil(q * len(bins) - 1e-12) - 1)]
+        return [0.0 if (b := pick(q)) == -(1 << 20) else 2 / 2.02 * 1.02**b for q in (0.25, 0.5)]
+
+    groups = defaultdict(list)
+    for f in feats:
+        if not f[2]:
+            for key in ((f[0], f[1]), (f[0], "any"), ("any", "any")):
+                groups[(*key, len(key[1] or "") >= 0)].append(f[3:])
+    limits = ((0.0075, 0.20), (0.04, 0.60), (0.2, 20.0))
+    drawn = lambda q, n, wider: (q * n + wider * 20) / (n + 20)
+    out = []
+    for lang, source, failed, *xs in feats:
+        ok = not failed
+        for i, (spread, highest) in enumerate(limits):
+            if failed:
+                break
+            sets = [groups[k][:] for k in ((lang, source, True), (lang, "any", True), ("any", "any", True))]
+            own, wide, pool = (quantiles([v[i] for v in x]) for x in sets)
+            low, mid = (drawn(own[j], len(sets[0]), drawn(wide[j], len(sets[1]), pool[j])) for j in (0, 1))
+            ok = ok and xs[i] <= min(mid + 8 * max(mid - low, spread), highest)
+        out.append(ok)
+    return out
+
+
+def test_quality_verdicts_by_brute_force(spark, sf):
+    from kinlink.llm.queries import op8_quality
+    from kinlink.llm.quality import judge
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows_ = [(r.doc_id, r.lang, r.source, r.text) for r in d.collect()]
+    want = Counter((i, k) for (i, *_), k in zip(rows_, brute_verdicts([r[1:] for r in rows_]), strict=True))
+    assert rows(op8_quality(spark, sf), "doc_id", "kept") == want
+    # Sketches merge to the same verdicts however rows are dealt.
+    assert rows(judge(d.repartition(13), ["doc_id"]).select("row.doc_id", "kept"), "doc_id", "kept") == want
+
+
+CLASH = ["row", "n_words", "kept", "m", "lines", "size", "src", "h", "shards", "shard", "target", "source_size", "gone", "key", "n_lines", "n_removed", "spans", "items", "part", "block", "node", "class_id", "bands", "of", "found", "base", "_text", "_m", "_size"]
+
+
+@pytest.mark.parametrize("stage", ["quality", "near", "clean", "mix", "lines"])
+def test_clashing_columns_come_through(spark, sf, stage):
+    from pyspark.sql import functions as F
+
+    from kinlink.llm import decontaminate, linededup, mixing, neardup, quality
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").drop("node")
+    d = d.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASH])
+    f = {"quality": quality.filter_documents, "near": neardup.one_of_each, "clean": lambda x: decontaminate.clean_documents(x, spark.read.parquet(f"{sf}/benchmark.parquet")), "mix": mixing.mixed_documents, "lines": linededup.dedup_lines}[stage]
+    out = f(d)
+    assert out.columns[: len(d.columns)] == d.columns and len(set(out.columns)) == len(out.columns)
+    got = out.collect()
+    assert got
+    for r in got:
+        for c in CLASH:
+            assert r[c] == f"{c}:{'-' if r.doc_id is None else r.doc_id}"
+
+
 def test_quality_fences_follow_the_group(spark):
     from kinlink.llm.quality import filter_documents
 
@@ -255,6 +373,50 @@ def test_mix(spark, sf, docs):
     assert mixed.count() == sum(r.taken // r.size for r in got if r.size) + sum(1 for r in mixed.collect() if not (r.text or "").strip())
 
 
+def test_mix_shards_hold_exact_quotas(spark, sf, docs):
+    from pyspark.sql import functions as F
+
+    from kinlink.llm import mixing
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    old = mixing.BLOCK, mixing.SHARD
+    mixing.BLOCK, mixing.SHARD = 4, 3
+    try:
+        got = mixing.mixed_shards(d).select("row.doc_id", "row.text", "row.source", "shard").collect()
+        taken = {(r.doc_id, r.size): r.taken for r in [x for x in mixing.mix(d, ["doc_id"]).select("row.doc_id", "size", (F.size("shards") * F.col("size")).alias("taken")).collect()]}
+        again = mixing.mixed_shards(d.repartition(7)).select("row.doc_id", "shard").collect()
+    finally:
+        mixing.BLOCK, mixing.SHARD = old
+    assert Counter((r.doc_id, r.shard) for r in got) == Counter((r.doc_id, r.shard) for r in again)
+    assert len({r.shard for r in got}) > 8
+    seen = Counter()
+    for r in got:
+        n = measures(r.text)[0]
+        seen[r.doc_id, n] += n
+    repeated = Counter((d_, measures(t)[0]) for d_, t, _ in docs)
+    assert all(seen.get(k, 0) == v * repeated[k] for k, v in taken.items())
+
+
+def test_mix_tree_splits_like_the_hypergeometric(spark):
+    from pyspark.sql import functions as F
+
+    from kinlink.llm import mixing
+
+    quotas = [("a", 40), ("b", 7), ("c", 1), ("d", 300)]
+    leaves = mixing.shard_quotas(spark.createDataFrame(quotas, "src string, k long"), 348).collect()
+    total, per = Counter(), Counter()
+    for r in leaves:
+        total[r.src] += r.k
+        per[r.shard] += r.k
+    assert total == Counter(dict(quotas))
+    assert max(per.values()) <= mixing.SHARD and max(per.values()) - min(per.values()) <= 1
+    # Many draws of one node: mean and variance of the distribution.
+    n = 4000
+    rows_ = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / float(1 << 52)).alias("u"), F.lit(60).alias("t"), F.lit(25).alias("g"), F.lit(30).alias("d"))
+    got = np.array([r[0] for r in rows_.select(mixing._hypergeometric(F.col("t"), F.col("g"), F.col("d"), F.col("u"))).collect()])
+    assert abs(got.mean() - 12.5) < 0.15 and abs(got.var() - 30 * 25 / 60 * 35 / 60 * 30 / 59) < 0.4
+
+
 def near_classes(docs):
     sets, parent = [], {}
     for d, t, _ in docs:
@@ -329,8 +491,6 @@ def test_line_dedup(spark, sf, docs):
     from kinlink.llm.queries import op6_line_dedup
 
     s = [(-1, t) if d is None else (d, t) for d, t, _ in docs]
-    from pyspark.sql import functions as F
-
     from kinlink.llm.common import row_key
 
     keys = Counter()
@@ -349,7 +509,6 @@ def test_line_dedup(spark, sf, docs):
     for d, t in s:
         want[None if d < 0 else d, *keys[d, t]] += 1
     assert rows(op6_line_dedup(spark, sf), "doc_id", "text", "n_lines", "n_removed") == want
-    assert F is not None
 
 
 def test_toxicity(spark, sf):
@@ -400,6 +559,27 @@ def test_licenses(spark, sf, docs):
                 assert r.n_licenses == 0
 
 
+def test_licenses_in_several_copies():
+    from kinlink.llm.licenses import TEMPLATES, license_words, scan
+
+    t, rng = {k: license_words(v) for k, v in TEMPLATES.items()}, np.random.default_rng(13)
+    filler = [f"w{i}" for i in range(500)]
+    for turn in range(150):
+        name = list(t)[turn % len(t)]
+        body, noisy = t[name], turn % 2 and len(t[name]) > 60
+        text, planted = list(rng.choice(filler, rng.integers(0, 60))), []
+        for _ in range(rng.integers(1, 4)):
+            # Up to a tenth of the words left out, and others put in.
+            copy = [x for w in body for x in ([w] if not noisy or rng.random() > 0.04 else []) + ([str(rng.choice(filler))] if noisy and rng.random() < 0.04 else [])]
+            planted.append((len(text), len(text) + len(copy)))
+            text += [*copy, *rng.choice(filler, rng.choice([0, 0, 1, 5, 80]))]
+        got = [x for x in scan(text, t) if x[2] == name]
+        assert len(got) == len(planted), (name, planted, got)
+        for (a, z), (b, y, _, coverage) in zip(planted, got, strict=True):
+            assert min(z, y) - max(a, b) >= 0.8 * (z - a) and coverage >= (0.8 if noisy else 1.0)
+    assert scan(t["CC-BY-NC-4.0"] * 3, t) and {x[2] for x in scan(t["CC-BY-SA-4.0"], t)} == {"CC-BY-SA-4.0"}
+
+
 def test_simple8b_round_trip():
     from kinlink.llm.tokens import pack_block, unpack_block
 
@@ -411,6 +591,26 @@ def test_simple8b_round_trip():
             assert unpack_block(pack_block([ids, ids[:3]]))[1].tolist() == [*ids.tolist(), *ids[:3].tolist()]
 
 
+def test_queries_give_the_rows_of_their_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from kinlink.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    value = lambda x: None if x != x or x is None else x.item() if hasattr(x, "item") else x
+    for name, sql in ORACLE.items():
+        got, want = QUERIES[name](spark, SF).toPandas(), con.execute(sql).df()
+        cols = sorted(got.columns)
+        assert cols == sorted(want.columns)
+        counted = lambda d: Counter(tuple(None if x is None or str(x) in ("<NA>", "nan") else int(x) if isinstance(x, float) else value(x) for x in r) for r in d[cols].itertuples(index=False))
+        assert counted(got) == counted(want), name
+
+
 def test_empty_tables(spark, tmp_path):
     from kinlink.llm.queries import QUERIES
 
@@ -423,7 +623,7 @@ def test_empty_tables(spark, tmp_path):
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
-    d, names = spark.read.parquet(f"{sf}/documents.parquet"), None
+    d = spark.read.parquet(f"{sf}/documents.parquet")
     for name, f in corpus_pipeline.STAGES[:-1]:
         before = d
         d = f(spark, d, sf)
@@ -431,4 +631,3 @@ def test_pipeline(spark, sf, docs):
         d.write.parquet(path := f"{sf}/stage-{name}")
         d = spark.read.parquet(path)
     assert corpus_pipeline.run(spark, sf).count() == d.count() > 0
-    assert names is None
