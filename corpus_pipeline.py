@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm import decontaminate, mixing, neardup, quality, tokens
-from kinlink.llm.common import shared_dir, table
+from kinlink.llm.common import scratch, shared_dir, table
 from kinlink.llm.queries import tokenizer_path
 
 
@@ -51,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{at}/{i}-{name}")
+        with scratch():  # what a stage has staged goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path := f"{at}/{i}-{name}")
         docs = spark.read.parquet(path)
     return docs
