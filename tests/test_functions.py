@@ -1,5 +1,7 @@
 """Text functions, similarities, blocking and decisions on small tables of cases."""
 
+import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -58,6 +60,32 @@ def test_similarity(spark):
     assert tuple(r[0]) == pytest.approx((SequenceMatcher(None, "a b", "a c").ratio(), 1 / 3, 0.5)) and tuple(r[1]) == (0, 0, 0)
 
 
+def test_indel_of_long_texts(spark):
+    """As the plain table, also for many long texts: a row of the table must not be copied for each cell."""
+    r = random.Random(3)
+    made = lambda n: "".join(r.choice("abcdeé \U0001f600") for _ in range(n))
+    pairs = [(made(300), made(300)) for _ in range(4000)] + [(made(n), made(m)) for n in range(5) for m in range(5)]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(below(x, b, row))
+        return row[-1]
+
+    def below(x, b, above):
+        left = 0
+        yield 0
+        for j, y in enumerate(b):
+            left = above[j] + 1 if x == y else max(above[j + 1], left)
+            yield left
+
+    began = time.time()
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", S.indel_similarity(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()
+    assert time.time() - began < 30
+    for (a, b), x in list(zip(pairs, got, strict=True))[-30:]:
+        assert x.x == pytest.approx(1.0 if a == b else 2 * plain(a, b) / (len(a) + len(b)))
+
+
 def test_blocking(spark):
     asked = [("Pacific Best Garden LLC", "Different Street", "US"), ("Completely Different Name", "7 Kashinath Mullick Lane, Calcutta", "India"), ("Pacific Nursery", "363 Spruce Rd", "US"), ("Pacific Best Garden Inc", "7 Kashinath Mullick Lane", ""), ("Pacific Best Garden", "363 Blue Spruce Road", "India"), ("Mystery Traders", "Unknown Road", "US"), ("Boulangerie Patisserie", "15 Rue de Paris, Lyon", "France"), ("Nordic Solutions", "42 Fjord Way", "Norway"), ("Xylophone Quantum Quasar 9999", "Outer Space Station Alpha", "US")]
     s = spark.createDataFrame([(f"S1-{i}", *r) for i, r in enumerate(asked)], COLS).withColumn("pos", F.monotonically_increasing_id())
