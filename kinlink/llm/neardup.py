@@ -11,7 +11,7 @@ bound at which all registers are filled are made, so a long text costs little mo
 Signatures are banded (BANDS x ROWS: a pair of similarity 0.8 is missed with probability 7e-5).
 Equal texts are one node. In each bucket every member is compared with a leader, the member whose buckets
 are the largest together (in a group of copies, that most like all the others); those that join no leader's class elect
-further leaders (one, then 4, 16 and 64 at a time; in a bucket of at most SMALL all at once) among themselves until none is left, so a group
+further leaders (one, then 4, 16, 64, 256 and 1,024 at a time; in a bucket of at most SMALL all at once) among themselves until none is left, so a group
 of copies does not yield all its pairs and no bucket is capped. The first round takes a third of the buckets, which
 joins most of a group of copies before its members meet again in the others; the later rounds take all. Last, in every
 bucket that still holds several classes, those outside its largest class are compared with all members of other classes,
@@ -47,6 +47,8 @@ ODD = 512
 BITS = [f"s{i}" for i in range(2 + ODD // 64)]
 #: Buckets with so few members left are finished in one round: each is compared with the others.
 SMALL = 8
+#: Links whose components one task finds; more are labelled by joins, whose many small stages a driver would have to keep for few links.
+FEW_LINKS = 200_000
 #: Words whose hashes a Python worker holds.
 HELD_WORDS = 1_000_000
 U = np.uint64
@@ -250,7 +252,7 @@ def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     turn, held = 0, [buckets]
     move = lambda d, c, m: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
     while not buckets.isEmpty():
-        lead = elect(buckets if turn else buckets.filter("pmod(value, 3) = 0"), min(64, 4 ** max(0, turn - 1)))
+        lead = elect(buckets if turn else buckets.filter("pmod(value, 3) = 0"), min(1024, 4 ** max(0, turn - 1)))
         # The links of a round join classes of the rounds before: only those that are joined take part.
         moved = components(compare(buckets, lead, els)).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new"))
         roots = move(roots, "root", moved)
@@ -279,9 +281,34 @@ def _element_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return d.select("node", "text").mapInArrow(_elements, "node binary, els array<bigint>")
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all links of one task, by union-find: a root is the smallest node of its tree."""
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = x = up[above]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for i in range(0, len(nodes), 10_000):
+        some = nodes[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(list(map(root, some)), pa.binary())], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node -> root: the smallest node of its component. Labels spread and jump until none changes."""
+    """node -> root: the smallest node of its component. Up to FEW_LINKS links are one task's; for more, labels spread and jump until none changes."""
+    edges = stage(edges.select("a", "b"), "links")
+    if edges.count() <= FEW_LINKS:
+        found = stage(edges.coalesce(1).mapInArrow(_joined_up, "node binary, root binary"), "roots")
+        discard(edges)
+        return found
     both = stage(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("to")).distinct(), "edges")
+    discard(edges)
     label = stage(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
     while True:
         near = both.join(label.select(F.col("node").alias("to"), F.col("root").alias("r")), "to").groupBy("node").agg(F.min("r").alias("r"))

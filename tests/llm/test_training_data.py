@@ -631,3 +631,26 @@ def test_pipeline(spark, sf, docs):
         d.write.parquet(path := f"{sf}/stage-{name}")
         d = spark.read.parquet(path)
     assert corpus_pipeline.run(spark, sf).count() == d.count() > 0
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    """A root is the least node of its component, on both ways; few links take few jobs, however long their chain is."""
+    from kinlink.llm import neardup
+
+    monkeypatch.setattr(neardup, "FEW_LINKS", few)
+    r = np.random.default_rng(7)
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    links = [(i, i + 1) for i in range(120)] + [tuple(p) for p in r.integers(1000, 1400, (300, 2)).tolist()] + [(5, 5), (3, 2)]
+    root = {}
+    for a, b in links:
+        joined = root.get(a, {a}) | root.get(b, {b})
+        root.update(dict.fromkeys(joined, joined))
+    edges = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in links], "a binary, b binary")
+    spark.sparkContext.setJobGroup(f"components-{few}", "")
+    got = {bytes(x.node): bytes(x.root) for x in neardup.components(edges).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {name(i): min(map(name, every)) for i, every in root.items()}
+    if few:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{few}")) <= 6
+        assert neardup.components(edges.filter("a is null")).count() == 0
