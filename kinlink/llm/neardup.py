@@ -41,10 +41,13 @@ REGISTERS = BANDS * ROWS
 #: Of REGISTERS' lowest bits, half in each of two longs; a pair of similarity 0.8 agrees in 108 on average, with a deviation of 3.3.
 LIKELY = 93
 U = np.uint64
-#: Bits of a multiset's odd sketch, whose exclusive or never has more bits than two multisets have differences.
-ODD = 512
+#: Bits of a multiset's odd sketch, whose exclusive or never has more bits than two multisets have differences. Long texts with a
+#: passage in common meet in buckets by the thousand and differ in hundreds of elements, which would fill 512 bits. The JVM compiles no
+#: method of over 8,000 bytes; that of the join by these columns has 7,069.
+ODD = 2048
 #: Longs of a node that follow it into its buckets: two of the registers' lowest bits, the others of the odd sketch.
-BITS = [f"s{i}" for i in range(2 + ODD // 64)]
+REGISTER_BITS, ODD_BITS = ["s0", "s1"], [f"w{i}" for i in range(ODD // 64)]
+BITS = REGISTER_BITS + ODD_BITS
 #: Buckets with so few members left are finished in one round: each is compared with the others.
 SMALL = 8
 #: Links whose components one task finds; more are labelled by joins, whose many small stages a driver would have to keep for few links.
@@ -171,21 +174,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
     held = _Hashes()
     for b in batches:
-        sizes, sigs, odd = [], [], []
+        sizes, sigs = [], []
         for s in _shingled(b.column("text"), held):
             sizes.append(len(s))
             sigs.append(signature(s) if len(s) else np.zeros(REGISTERS, np.uint64))
-            odd.append(odd_sketch(elements(s)) if len(s) else np.zeros(ODD // 64, np.int64))
         low = np.array(sigs, np.uint64).reshape(-1, REGISTERS) >> U(63)
         sig = _list_of([bands(s) if n else np.zeros(0, np.int64) for n, s in zip(sizes, sigs, strict=True)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(sizes, pa.int64()), sig, *map(pa.array, (_half(low[:, ::2]), _half(low[:, 1::2]), *np.array(odd, np.int64).reshape(-1, ODD // 64).T.copy()))], ["doc_id", "node", "n", "bands", *BITS])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(sizes, pa.int64()), sig, pa.array(_half(low[:, ::2])), pa.array(_half(low[:, 1::2]))], ["doc_id", "node", "n", "bands", *REGISTER_BITS])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
     held = _Hashes()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("node"), _list_of([elements(s) for s in _shingled(b.column("text"), held)])], ["node", "els"])
+        els = [elements(s) for s in _shingled(b.column("text"), held)]
+        odd = np.array([odd_sketch(e) for e in els], np.int64).reshape(-1, ODD // 64)
+        yield pa.RecordBatch.from_arrays([b.column("node"), _list_of(els), *map(pa.array, odd.T.copy())], ["node", "els", *ODD_BITS])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -195,11 +199,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def crowded(nodes: DataFrame) -> DataFrame:
-    """value, node, n, BITS, central, root, size: the members of every bucket of two or more, central being the sizes of a node's buckets together."""
+    """node, central, values, rep, n, REGISTER_BITS: the members of every bucket of two or more, with those buckets; central is their sizes together."""
     each = nodes.select("node", F.explode("bands").alias("value"))
     crowd = each.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
     per_node = each.join(crowd, "value").groupBy("node").agg(F.sum("c").alias("central"), F.collect_list("value").alias("values"))
-    return per_node.join(nodes.select("node", "n", *BITS), "node").select(F.explode("values").alias("value"), "node", "n", *BITS, "central", F.col("node").alias("root"), F.lit(SMALL + 1).cast("long").alias("size"))
+    return per_node.join(nodes.select("node", "rep", "n", *REGISTER_BITS), "node")
 
 
 def elect(buckets: DataFrame, leaders: int) -> DataFrame:
@@ -217,12 +221,14 @@ def _as_leaders(buckets: DataFrame) -> DataFrame:
     return buckets.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), *[F.col(c).alias(f"l{c}") for c in BITS], F.col("central").alias("lc"), F.col("root").alias("leader_root"))
 
 
-def mixed(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def mixed(buckets: DataFrame, roots: DataFrame, members: DataFrame, els: DataFrame) -> DataFrame:
     """value, node, root, central, n, BITS: the members of all buckets of several classes; central is 0 in a bucket's largest class and 1 in the others."""
     placed = stage(buckets.select("value", "node").join(roots, "node"), "placed")
     largest = placed.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "root"))["root"].alias("largest"), F.count("*").alias("classes"))
-    members = placed.join(largest.filter("classes > 1"), "value").select("value", "node", "root", (F.col("root") != F.col("largest")).cast("long").alias("central"))
-    out = stage(members.join(nodes.select("node", "n", *BITS), "node"), "mixed")
+    several = placed.join(largest.filter("classes > 1"), "value").select("node", "root", F.struct("value", (F.col("root") != F.col("largest")).cast("long").alias("central")).alias("at"))
+    per_node = several.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("at").alias("ats"))
+    sketched = per_node.join(members.select("node", "n", *REGISTER_BITS), "node").join(els.select("node", *ODD_BITS), "node")
+    out = stage(sketched.withColumn("at", F.explode("ats")).select("at.value", "node", "root", "at.central", "n", *BITS), "mixed")
     discard(placed)
     return out
 
@@ -245,10 +251,12 @@ def compare(buckets: DataFrame, lead: DataFrame, els: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """node, rep, root: the smallest doc_id and the class of every node; one of no link is its own root."""
-    nodes = stage(sigs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", *BITS)]), "nodes")
-    buckets = stage(crowded(nodes), "buckets")
-    roots = buckets.select("node", "root").distinct()
-    els = stage(_element_sets(docs, nodes.select("node", "rep").join(roots.select("node"), "node", "left_semi")), "elements")
+    nodes = stage(sigs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", *REGISTER_BITS)]), "nodes")
+    members = stage(crowded(nodes), "members")
+    roots = members.select("node", F.col("node").alias("root"))
+    els = stage(_element_sets(docs, members.select("node", "rep")), "elements")
+    # value, node, n, BITS, central, root, size: a row for each member of a bucket.
+    buckets = stage(members.join(els.select("node", *ODD_BITS), "node").select(F.explode("values").alias("value"), "node", "n", *BITS, "central", F.col("node").alias("root"), F.lit(SMALL + 1).cast("long").alias("size")), "buckets")
     turn, held = 0, [buckets]
     move = lambda d, c, m: d.join(m.withColumnsRenamed({"root": c}), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
     while not buckets.isEmpty():
@@ -266,19 +274,19 @@ def links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
         turn += 1
     # Members that joined a leader left the buckets, so others have not met them there.
     roots = stage(roots, "joined")
-    rest = mixed(held[0], roots, nodes)
+    rest = mixed(held[0], roots, members, els)
     held += [roots, rest]
     roots = move(roots, "root", components(compare(rest, _as_leaders(rest.filter("central = 1")), els)).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new")))
     out = stage(nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-    discard(*held, els, nodes)
+    discard(*held, els, members, nodes)
     return out
 
 
 def _element_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, els of the wanted nodes, made from the whole text of one row of each. Rows are dealt by node and doc_id, so that copies go apart."""
+    """node, els, ODD_BITS of the wanted nodes, made from the whole text of one row of each. Rows are dealt by node and doc_id, so that copies go apart."""
     one = wanted.select("node", F.col("rep").alias("doc_id"))
     d = _keyed(docs).alias("d").join(one.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    return d.select("node", "text").mapInArrow(_elements, "node binary, els array<bigint>")
+    return d.select("node", "text").mapInArrow(_elements, "node binary, els array<bigint>, " + ", ".join(f"{c} long" for c in ODD_BITS))
 
 
 def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +333,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id, first: whether the row is the one that stands for its class."""
-    sigs = stage(_keyed(docs).mapInArrow(_sign, "doc_id long, node binary, n long, bands array<bigint>, " + ", ".join(f"{c} long" for c in BITS)), "signatures")
+    sigs = stage(_keyed(docs).mapInArrow(_sign, "doc_id long, node binary, n long, bands array<bigint>, " + ", ".join(f"{c} long" for c in REGISTER_BITS)), "signatures")
     roots = links(docs, sigs)
     # Null ids come last.
     ids = roots.groupBy("root").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "node")).alias("least"))

@@ -474,6 +474,41 @@ def test_near_dup_chains(spark):
     assert not lost, len(lost)
 
 
+def joined_rows(spark, after):
+    """Rows made by the comparing joins of the executions beyond after, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, n, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    runs = store.executionsList().iterator()
+    while runs.hasNext():
+        if (k := runs.next().executionId()) <= after:
+            continue
+        last, values, nodes = max(last, k), store.executionMetrics(k), store.planGraph(k).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            if not ("Join" in node.name() and "central" in node.desc() and "leader" in node.desc() and "[value" in node.desc()):
+                continue
+            metrics = node.metrics().iterator()
+            while metrics.hasNext():
+                m = metrics.next()
+                if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    n += int(values.get(m.accumulatorId()).get().replace(",", ""))
+    return n, last
+
+
+def test_near_dup_long_passage_in_common(spark):
+    """Texts of similarity 0.69 by a common passage share most buckets, but are not all compared; the similar ones among them are linked."""
+    from kinlink.llm.neardup import classes
+
+    passage = [f"p{i}" for i in range(900)]
+    texts = [[*passage, *[f"d{d}w{i}" for i in range(200)]] for d in range(120)]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)] + [(1000 + d, " ".join(t[:-15])) for d, t in enumerate(texts[:20])]
+    _, before = joined_rows(spark, -1)
+    got = {r.doc_id: r.class_id for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 1000 for d, _ in rows}
+    made, _ = joined_rows(spark, before)
+    assert 20 <= made <= 1000, made
+
+
 def test_signatures_estimate_weighted_jaccard():
     from kinlink.llm.neardup import signature
 
