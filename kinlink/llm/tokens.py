@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stage
+from .common import freeing, row_key, stage
 
 END_ID = 2
 #: Ids of a block, and of a segment of it.
@@ -336,7 +336,7 @@ def _write(path: str):
         if docs:
             yield block()
 
-    return run
+    return freeing(run)
 
 
 def write_tokens(docs: DataFrame, path: str, shards: int | None = None) -> DataFrame:
@@ -367,4 +367,4 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     before = sums.select("part", (F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     inside = blocks.select("part", "seq", "n_ids").withColumn("_in", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
     starts = stage(inside.join(before, "part").select("part", "seq", (F.col("_before") + F.col("_in")).alias("start")), "starts")
-    return blocks.join(starts, ["part", "seq"]).select("doc_ids", "start", "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.join(starts, ["part", "seq"]).select("doc_ids", "start", "payload").mapInArrow(freeing(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -194,6 +194,42 @@ def test_tokens_of_odd_texts_are_the_librarys():
     assert 50256 in got[-2].tolist()
 
 
+_TASKS = """
+import re
+import numpy as np, pyarrow as pa
+from kinlink.llm.queries import tokenizer_path
+from kinlink.llm.tokens import _write, encoder
+
+def used():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+def batches(seed, n):
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        texts = [" ".join(map(str, rng.integers(0, 200_000, 400))) for _ in range(4_000)]
+        yield pa.RecordBatch.from_arrays([pa.array([0] * 4_000, pa.int32()), pa.array(range(4_000)), pa.array(texts)], ["part", "doc_id", "text"])
+
+encoder(tokenizer_path())
+list(map(len, _write(tokenizer_path())(batches(0, 0))))
+before = used()
+for seed in range(2):
+    assert sum(b.num_rows for b in _write(tokenizer_path())(batches(seed, 2))) > 1
+print(used() - before)
+"""
+
+
+def test_token_workers_give_memory_back():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    if not sys.platform.startswith("linux"):
+        pytest.skip("reads /proc")
+    # A process of its own, as a worker that Spark keeps beside the executor between tasks.
+    ran = subprocess.run([sys.executable, "-c", _TASKS], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert int(ran.stdout) < 60
+
+
 def test_warc(spark, sf):
     from kinlink.llm.queries import op7_warc
 
